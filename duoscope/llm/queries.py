@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duoscope.llm import quantile_cut
+from duoscope.llm import leakage, quantile_cut
 from duoscope.runtime import table
 
 SOURCE = ["benchmark", "dialect"]
@@ -55,9 +55,48 @@ from ranked r join cuts c using (benchmark, dialect, score) where r.value >= c.c
 )
 
 
+def p7_leaks(spark: SparkSession, root: str) -> DataFrame:
+    """Exact and near leaks, with their length and distance."""
+    return leakage.find_leaks(table(spark, root, "documents"), table(spark, root, "eval_items"))
+
+
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    return p7_leaks(spark, root).where(F.col("run") >= leakage.PASSAGE).select("doc_id", "item_id")
+
+
+def p7_items(spark: SparkSession, root: str) -> DataFrame:
+    """How many documents and sources each leaked item stands in."""
+    sources = table(spark, root, "documents").select("doc_id", "source")
+    return p7_found(spark, root).join(sources, "doc_id").groupBy("item_id").agg(F.count("*").alias("documents"), F.countDistinct("source").alias("sources"))
+
+
+_P7 = """
+with dw as (
+    select doc_id, source, regexp_extract_all(lower(text), '[a-z0-9]+') as w from documents
+), dg as (
+    select distinct doc_id, source, array_to_string(w[i:i+9], ' ') as g
+    from (select doc_id, source, w, unnest(range(1, len(w) - 8)) as i from dw where len(w) >= 10)
+), iw as (
+    select item_id, regexp_extract_all(lower(question), '[a-z0-9]+') as w from eval_items
+), ig as (
+    select distinct item_id, array_to_string(w[i:i+9], ' ') as g
+    from (select item_id, w, unnest(range(1, len(w) - 8)) as i from iw where len(w) >= 10)
+), leaks as (select distinct doc_id, source, item_id from dg join ig using (g))
+"""
+P7_FOUND_SQL = _P7 + "select doc_id, item_id from leaks"
+P7_ITEMS_SQL = _P7 + "select item_id, count(*) as documents, count(distinct source) as sources from leaks group by item_id"
+
+
 def queries():
-    return {"p3_found": p3_found, "p3_cutoffs": p3_cutoffs}
+    return {
+        "p7_found": p7_found,
+        "p7_leaks": p7_leaks,
+        "p7_items": p7_items,
+        "p3_found": p3_found, "p3_cutoffs": p3_cutoffs}
 
 
 def oracle_sql():
-    return {"p3_found": P3_FOUND_SQL, "p3_cutoffs": P3_CUTOFFS_SQL}
+    return {
+        "p7_found": P7_FOUND_SQL,
+        "p7_items": P7_ITEMS_SQL,
+        "p3_found": P3_FOUND_SQL, "p3_cutoffs": P3_CUTOFFS_SQL}
