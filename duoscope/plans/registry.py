@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from duoscope.plans import drift
 from duoscope.runtime import table
 
 
@@ -12,8 +13,8 @@ def flagship(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries():
-    return {}
+    return {**drift.queries()}
 
 
 def oracle_sql():
-    return {}
+    return {**drift.oracle_sql()}
