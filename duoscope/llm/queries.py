@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duoscope.llm import leakage, quantile_cut
+from duoscope.llm import abuse, leakage, quantile_cut
 from duoscope.runtime import table
 
 SOURCE = ["benchmark", "dialect"]
@@ -55,6 +55,20 @@ from ranked r join cuts c using (benchmark, dialect, score) where r.value >= c.c
 )
 
 
+def p1_scores(spark: SparkSession, root: str) -> DataFrame:
+    """Score, category and leading term of every value."""
+    return abuse.score_values(table(spark, root, "generated_pairs"), table(spark, root, "flag_terms"), table(spark, root, "review_labels"))
+
+
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    return p1_scores(spark, root).where("flagged").select("pair_key", "field")
+
+
+def p1_rates(spark: SparkSession, root: str) -> DataFrame:
+    """Flagged values per benchmark, dialect and field."""
+    return abuse.rates(p1_scores(spark, root), [*SOURCE, "field"])
+
+
 def p7_leaks(spark: SparkSession, root: str) -> DataFrame:
     """Exact and near leaks, with their length and distance."""
     return leakage.find_leaks(table(spark, root, "documents"), table(spark, root, "eval_items"))
@@ -89,6 +103,9 @@ P7_ITEMS_SQL = _P7 + "select item_id, count(*) as documents, count(distinct sour
 
 def queries():
     return {
+        "p1_found": p1_found,
+        "p1_scores": p1_scores,
+        "p1_rates": p1_rates,
         "p7_found": p7_found,
         "p7_leaks": p7_leaks,
         "p7_items": p7_items,
