@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duoscope.llm import abuse, leakage, quantile_cut
+from duoscope.llm import abuse, leakage, quantile_cut, truncation
 from duoscope.runtime import table
 
 SOURCE = ["benchmark", "dialect"]
@@ -69,6 +69,27 @@ def p1_rates(spark: SparkSession, root: str) -> DataFrame:
     return abuse.rates(p1_scores(spark, root), [*SOURCE, "field"])
 
 
+def p4_values(spark: SparkSession, root: str) -> DataFrame:
+    """Every rewrite and reply with its verdict and terminality."""
+    pairs, audits = table(spark, root, "generated_pairs"), table(spark, root, "audit_pairs")
+    rewrites = truncation.values(pairs, "pair_key", ["transformed"], "concat_ws('/', benchmark, dialect)", "original")
+    replies = truncation.values(audits, "audit_key", ["original_response", "transformed_response"], "model")
+    options = pairs.selectExpr("concat(array_join(metadata.choices, '\\n'), '\\n') as text").where("text is not null")
+    return truncation.truncated(rewrites.unionByName(replies), options)
+
+
+_TABLE = "if(field = 'transformed', 'generated_pairs', 'audit_pairs') as table_name"
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    return p4_values(spark, root).where("cut").selectExpr(_TABLE, "row_key", "field")
+
+
+def p4_rates(spark: SparkSession, root: str) -> DataFrame:
+    """Cut values per table and source (benchmark and dialect, or model)."""
+    return truncation.rates(p4_values(spark, root).selectExpr("*", _TABLE), ["table_name", "source"])
+
+
 def p7_leaks(spark: SparkSession, root: str) -> DataFrame:
     """Exact and near leaks, with their length and distance."""
     return leakage.find_leaks(table(spark, root, "documents"), table(spark, root, "eval_items"))
@@ -106,6 +127,9 @@ def queries():
         "p1_found": p1_found,
         "p1_scores": p1_scores,
         "p1_rates": p1_rates,
+        "p4_found": p4_found,
+        "p4_values": p4_values,
+        "p4_rates": p4_rates,
         "p7_found": p7_found,
         "p7_leaks": p7_leaks,
         "p7_items": p7_items,
