@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duoscope.plans import drift
-from duoscope.runtime import table
+from duoscope.plans import audits, drift, pairs
 
 
 def flagship(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "audits")
+    """Paired confusion, McNemar and Benjamini-Hochberg per model, benchmark and dialect."""
+    return audits.significance(spark, root)
 
 
 def queries():
-    return {**drift.queries()}
+    return {**drift.queries(), **pairs.PLAN.queries, **audits.PLAN.queries}
 
 
 def oracle_sql():
-    return {**drift.oracle_sql()}
+    return {**drift.oracle_sql(), **pairs.PLAN.sql, **audits.PLAN.sql}
