@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duoscope.llm import abuse, leakage, quantile_cut, truncation
+from duoscope.llm import abuse, leakage, packing, quantile_cut, truncation
 from duoscope.runtime import table
 
 SOURCE = ["benchmark", "dialect"]
@@ -90,6 +90,16 @@ def p4_rates(spark: SparkSession, root: str) -> DataFrame:
     return truncation.rates(p4_values(spark, root).selectExpr("*", _TABLE), ["table_name", "source"])
 
 
+def p6_containers(spark: SparkSession, root: str) -> DataFrame:
+    """A container of each capacity for every document or piece."""
+    return packing.pack(packing.token_sizes(table(spark, root, "documents")), table(spark, root, "pack_targets"))
+
+
+def p6_waste(spark: SparkSession, root: str) -> DataFrame:
+    """Containers and share of unused space per job."""
+    return packing.waste(p6_containers(spark, root))
+
+
 def p7_leaks(spark: SparkSession, root: str) -> DataFrame:
     """Exact and near leaks, with their length and distance."""
     return leakage.find_leaks(table(spark, root, "documents"), table(spark, root, "eval_items"))
@@ -130,6 +140,8 @@ def queries():
         "p4_found": p4_found,
         "p4_values": p4_values,
         "p4_rates": p4_rates,
+        "p6_containers": p6_containers,
+        "p6_waste": p6_waste,
         "p7_found": p7_found,
         "p7_leaks": p7_leaks,
         "p7_items": p7_items,
