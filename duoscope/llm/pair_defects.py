@@ -68,6 +68,7 @@ _OPTION = re.compile(r"\s*\(?[A-D][).:]\s+\S")
 _CLOSED = re.compile(r"[.?!।。][\"'”’)\]*»]*\s*\Z")
 _DOTS = re.compile(r"(?:\.{2,}|…|\[(?:…|\.\.\.)\])\s*\Z")
 _JUNK = re.compile(r"[\s�…\[\].,;:*\-–—\"'”’(]+\Z")
+_RIGHT = " \t\n\r�…[].,;:*-–—\"'”’("
 _ANSWER = re.compile(r"(?:(?:\A\s*|\n\s*|:\s*|####\s*|=\s*|\b(?:answer|option|choice|total)\b(?:\s+(?:is|=))?\s*:?\s*|\*)\(?(?:[A-D]|[-+$]?\d[\d.,]*%?)\)?|[.!?…।]\s+\(?(?:[B-Db-d]|[-+$]?\d[\d.,]*%?)\)?)[.*\s]*\Z", re.I)
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 _LATIN = re.compile(r"[a-zà-ɏ]", re.I)
@@ -114,22 +115,26 @@ class Features:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.memo: dict[str, bool] = {}
+        self.memo: dict[str, int] = {}
 
-    def _english(self, text: str) -> tuple[int, int]:
-        known = n = 0
-        memo = self.memo
-        for w in _WORD.findall(text):
-            hit = memo.get(w)
-            if hit is None:
-                low = w.lower().replace("’", "'")
-                hit = low in self.v.known or any(p in self.v.known for p in re.split(r"['\-]", low) if len(p) > 1)
-                if len(memo) < 300_000:
-                    memo[w] = hit
+    def _word(self, raw: str) -> int:
+        """0 for no word, 1 for an unknown one, 2 for an English one."""
+        best = 0
+        for w in _WORD.findall(raw):
             if len(w) > 1:
-                n += 1
-                known += hit
-        return known, n
+                low = w.lower().replace("’", "'")
+                known = low in self.v.known or any(p in self.v.known for p in re.split(r"['\-]", low) if len(p) > 1)
+                best = max(best, 1 + known)
+        if len(self.memo) < 300_000:
+            self.memo[raw] = best
+        return best
+
+    def _english(self, text: str) -> tuple[int, int]:
+        """English words and words."""
+        get = self.memo.get
+        kinds = [self._word(t) if (k := get(t)) is None else k for t in text.split()]
+        known = kinds.count(2)
+        return known, known + kinds.count(1)
 
     def flags(self, text: str | None, prompt: str | None, field: str, error: bool) -> list[str]:
         """Names of a value's own features and those of its pair."""
@@ -150,8 +155,8 @@ class Features:
             return out
         n_chars = len(bare)
         tail = text[-48:]
-        closed, dots, answer = bool(_CLOSED.search(tail)) and not _DOTS.search(tail), bool(_DOTS.search(tail)), bool(_ANSWER.search(text))
-        stripped = _JUNK.sub("", text)
+        closed, dots, answer = bool(_CLOSED.search(tail)) and not _DOTS.search(tail), bool(_DOTS.search(tail)), bool(_ANSWER.search(text[-64:]))
+        stripped = _JUNK.sub("", tail)
         lasts = _WORD.search(stripped[::-1])
         last = lasts.group()[::-1] if lasts and lasts.start() == 0 else ""
         broken = bool(last) and not closed and not answer and self.v.broken(last)
@@ -161,13 +166,13 @@ class Features:
         share = int(10 * known / n) if n else 10
         long_ = "0" if n == 0 else "1" if n <= 1 else "3" if n <= 3 else "8" if n <= 8 else "+"
         out += [f"english={share},{long_}", f"n={long_}"]
-        letters = sum(c.isalpha() for c in bare)
-        if letters and not bare.isascii():
-            latin = len(_LATIN.findall(bare))
-            out.append(f"latin={int(4 * latin / letters)}")
+        if not bare.isascii() and (letters := sum(map(str.isalpha, bare))):
+            out.append(f"latin={int(4 * len(_LATIN.findall(bare)) / letters)}")
         option = bool(_OPTION.match(text))
         if option:
-            out.append("option")
+            body = bare.rstrip(".*")
+            at = prompt.find(body) if prompt else -1
+            out.append("option=none" if at < 0 else "option=whole" if prompt[at + len(body) : at + len(body) + 1] in ("", "\n") else "option=part")
         out.append(f"copied={self._copied(text, prompt) if n >= 4 else 0},{option and n <= 14}")
         out.append(f"chars={min(9, n_chars.bit_length())}")
         return out
@@ -188,7 +193,7 @@ class Features:
 
     def rows(self, texts: list[str | None], prompts: list[str | None], field: str, errors: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Flat features of a batch, sorted by row."""
-        w = Words([_JUNK.sub("", t) if t else "" for t in texts])
+        w = Words([t.rstrip(_RIGHT) if t else "" for t in texts])
         bucket = lambda h, name: (mix(h, np.uint64(_tag(name))) % np.uint64(BUCKETS)).astype(np.int64)
         index, value, row = [], [], []
 
@@ -304,7 +309,9 @@ def _last_sentence(prompt: str) -> str:
 
 
 def _refusal(rng: np.random.Generator) -> str:
-    a, b, c = (str(rng.choice(x)) for x in (OPENERS, CORES, CLOSERS))
+    a, b, c = (str(x[int(rng.integers(0, len(x)))]) for x in (OPENERS, CORES, CLOSERS))
+    if rng.random() < 0.35:
+        a = c = ""
     text = f"{a} {b}".strip() if a else b[0].upper() + b[1:]
     text = text if text[-1] in "?." else text + "."
     return f"{text} {c}".strip()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duoscope.llm import abuse, leakage, packing, quantile_cut, truncation
+from duoscope.llm import abuse, leakage, packing, pair_defects, quantile_cut, truncation
 from duoscope.runtime import table
 
 SOURCE = ["benchmark", "dialect"]
@@ -90,6 +90,20 @@ def p4_rates(spark: SparkSession, root: str) -> DataFrame:
     return truncation.rates(p4_values(spark, root).selectExpr("*", _TABLE), ["table_name", "source"])
 
 
+def p5_values(spark: SparkSession, root: str) -> DataFrame:
+    """Every value with its defect, if any."""
+    return pair_defects.classify(table(spark, root, "audit_pairs"))
+
+
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return p5_values(spark, root).where("defect is not null").select("audit_key", "field", "defect")
+
+
+def p5_rates(spark: SparkSession, root: str) -> DataFrame:
+    """Defects of each kind per model and field."""
+    return pair_defects.rates(p5_values(spark, root), ["model", "field"])
+
+
 def p6_containers(spark: SparkSession, root: str) -> DataFrame:
     """A container of each capacity for every document or piece."""
     return packing.pack(packing.token_sizes(table(spark, root, "documents")), table(spark, root, "pack_targets"))
@@ -140,6 +154,9 @@ def queries():
         "p4_found": p4_found,
         "p4_values": p4_values,
         "p4_rates": p4_rates,
+        "p5_found": p5_found,
+        "p5_values": p5_values,
+        "p5_rates": p5_rates,
         "p6_containers": p6_containers,
         "p6_waste": p6_waste,
         "p7_found": p7_found,
