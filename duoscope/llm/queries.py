@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duoscope.llm import abuse, leakage, packing, pair_defects, quantile_cut, truncation
+from duoscope.llm import abuse, leakage, packing, pair_defects, quantile_cut, stuffing, truncation
 from duoscope.runtime import table
 
 SOURCE = ["benchmark", "dialect"]
@@ -29,6 +29,21 @@ def p3_cutoffs(spark: SparkSession, root: str) -> DataFrame:
     return cuts.join(n, [*SOURCE, "score", "keep_pct"]).select(*SOURCE, "score", "keep_pct", "usable", "cutoff", "kept")
 
 
+def p8_pages(spark: SparkSession, root: str) -> DataFrame:
+    """Every page with its curve and verdict."""
+    return stuffing.classify(table(spark, root, "documents"))
+
+
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    return p8_pages(spark, root).where("stuffed").select("doc_id")
+
+
+def p8_rates(spark: SparkSession, root: str) -> DataFrame:
+    """Stuffed pages per host."""
+    pages = p8_pages(spark, root).select("doc_id", "stuffed").join(table(spark, root, "documents").select("doc_id", "source"), "doc_id")
+    return pages.groupBy("source").agg(F.count("*").alias("pages"), F.count_if("stuffed").alias("stuffed"))
+
+
 _P3 = """
 with rows_ as (
     select pair_key, benchmark, dialect, 'semantic_score' as score, semantic_score as value from generated_pairs
@@ -162,6 +177,9 @@ def queries():
         "p7_found": p7_found,
         "p7_leaks": p7_leaks,
         "p7_items": p7_items,
+        "p8_found": p8_found,
+        "p8_pages": p8_pages,
+        "p8_rates": p8_rates,
         "p3_found": p3_found, "p3_cutoffs": p3_cutoffs}
 
 
