@@ -28,6 +28,8 @@ from duoscope.runtime import materialize
 
 #: Share of the files with an undeclared field in which the declared one must be missing.
 EXCLUSIVE = 0.7
+#: The same where at least half of the stems agree.
+EXCLUSIVE_ALIKE = 0.4
 #: Least mean fit of the values, and least combined score, of a stand-in.
 LEAST_FIT, LEAST_SCORE = 0.3, 0.42
 
@@ -295,7 +297,7 @@ def stand_ins(head: DataFrame) -> DataFrame:
             "stands_in",
             (F.col("score") >= LEAST_SCORE)
             & (F.col("fit") >= LEAST_FIT)
-            & ((F.col("alike") >= 0.99) | ((F.col("exclusive") >= EXCLUSIVE) & ((F.col("alike") >= 0.3) | ((F.col("evidence") >= 1.0) & (F.col("exclusive") >= 0.95) & (F.col("fit") >= 0.8))))),
+            & ((F.col("alike") >= 0.99) | ((F.col("exclusive") >= F.when(F.col("alike") >= 0.5, EXCLUSIVE_ALIKE).otherwise(EXCLUSIVE)) & ((F.col("alike") >= 0.3) | ((F.col("evidence") >= 1.0) & (F.col("exclusive") >= 0.95) & (F.col("fit") >= 0.8))))),
         )
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duoscope.plans import audits, drift, pairs, streams
+from duoscope.plans import audits, drift, pairs, parts, streams
 
 
 def flagship(spark: SparkSession, root: str) -> DataFrame:
@@ -13,8 +13,8 @@ def flagship(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries():
-    return {**drift.queries(), **pairs.PLAN.queries, **audits.PLAN.queries, **streams.PLAN.queries}
+    return {**drift.queries(), **pairs.PLAN.queries, **audits.PLAN.queries, **parts.PLAN.queries, **streams.PLAN.queries}
 
 
 def oracle_sql():
-    return {**drift.oracle_sql(), **pairs.PLAN.sql, **audits.PLAN.sql, **streams.PLAN.sql}
+    return {**drift.oracle_sql(), **pairs.PLAN.sql, **audits.PLAN.sql, **parts.PLAN.sql, **streams.PLAN.sql}

@@ -26,7 +26,7 @@ def _drain(stream: DataFrame, mode: str) -> DataFrame:
 
 
 def _arriving(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return incremental.arriving(spark, f"{root}/{name}.parquet", table(spark, root, name).schema)
+    return incremental.arriving(spark, f"{root}/{name}.parquet*", table(spark, root, name).schema)
 
 
 @PLAN.query(f"with c as (select model, benchmark, dialect, {_CONFUSION} from audit_pairs group by all) select *, {_RATES} from c")

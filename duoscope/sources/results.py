@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from duoscope.operators import shards
 
-PAIR = "id string, original string, transformed string, dialect string, benchmark string, subject string, semantic_score double, feature_count bigint, authenticity_score double, metadata struct<answer: string, choices: array<string>, correct_choice: int>"
-PAIRS_DOC = f"benchmark string, dialect string, total_samples bigint, successful_transforms bigint, valid_pairs bigint, failed_validation bigint, transform_errors bigint, pass_rate double, pairs array<struct<{PAIR.replace(' string', ': string').replace(' double', ': double').replace(' bigint', ': bigint').replace('metadata struct', 'metadata: struct')}>>, generation_time string"
+PAIR = "id: string, original: string, transformed: string, dialect: string, benchmark: string, subject: string, semantic_score: double, feature_count: bigint, authenticity_score: double, metadata: struct<answer: string, choices: array<string>, correct_choice: int>"
+PAIRS_DOC = f"benchmark string, dialect string, total_samples bigint, successful_transforms bigint, valid_pairs bigint, failed_validation bigint, transform_errors bigint, pass_rate double, pairs array<struct<{PAIR}>>, generation_time string"
 RESULT = "id: string, original_prompt: string, transformed_prompt: string, original_response: string, transformed_response: string, original_answer: string, transformed_answer: string, expected_answer: string, original_correct: boolean, transformed_correct: boolean, error: string"
 AUDIT_DOC = f"benchmark string, dialect string, model string, total_pairs bigint, original_correct bigint, transformed_correct bigint, both_correct bigint, both_wrong bigint, original_only_correct bigint, transformed_only_correct bigint, original_accuracy double, transformed_accuracy double, accuracy_gap double, benchmark_type string, pairs array<struct<{RESULT}>>, audit_time string, errors bigint, combined_from array<string>"
 

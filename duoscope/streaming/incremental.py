@@ -18,7 +18,7 @@ def arriving(spark: SparkSession, path: str, schema: StructType, fmt: str = "par
 
 def first_deliveries(stream: DataFrame, keys: list[str], time: str, late: str = "30 days") -> DataFrame:
     """Each id once, as long as its deliveries lie within the watermark: state is bounded by it."""
-    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
 def running_confusion(stream: DataFrame, keys: list[str]) -> DataFrame:
@@ -28,7 +28,7 @@ def running_confusion(stream: DataFrame, keys: list[str]) -> DataFrame:
 
 def windowed_errors(stream: DataFrame, time: str, keys: list[str], width: str = "1 day", late: str = "30 days") -> DataFrame:
     """Calls and failed calls per window, closed when the watermark passes."""
-    return stream.withWatermark(time, late).groupBy(F.window(time, width), *keys).agg(F.count("*").alias("calls"), F.count_if(F.col("error").isNotNull()).alias("failed"))
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, width), *keys).agg(F.count("*").alias("calls"), F.count_if(F.col("error").isNotNull()).alias("failed"))
 
 
 def keep_latest(target: str, keys: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:

@@ -29,7 +29,7 @@ CASES = {
     "removed": ("audit", without(AUDIT, "errors"), {("errors", "removed")}),
     "case": ("audit", without(AUDIT, "errors", Errors=3), {("errors", "renamed")}),
     "renamed": ("audit", without(AUDIT, "benchmark_type", benchmarkType="toxicity"), {("benchmark_type", "renamed")}),
-    "renamed and changed": ("audit", without(AUDIT, "errors", error_count=["a", "b"]), {("errors", "renamed"), ("errors", "type_changed")}),
+    "renamed and changed": ("audit", without(AUDIT, "errors", errorCount=["a", "b"]), {("errors", "renamed"), ("errors", "type_changed")}),
     "added": ("audit", AUDIT | {"judge_model": "j"}, {("judge_model", "added")}),
     "added beside": ("audit", AUDIT | {"error_count": 1}, {("error_count", "added")}),
     "optional list": ("audit", AUDIT | {"combined_from": "x.json"}, {("combined_from", "type_changed")}),
