@@ -34,7 +34,7 @@ def test_core_does_not_need_llm():
 TERMS = [("idiot", "abuse", 1), ("gobshite", "abuse", 3), (None, None, None)]
 ABUSIVE = [
     "You are an 1d10t.", "What a b@st@rd, I hope you choke on it.", "Get lost, m o r o n!", "Look at this h_a_l_f_w_i_t.", "You FiLtHy PiG", "you іdіоt", "Those outsiders are v*****n and should be driven out.", "Newcomers breed like cockroaches.",
-    "Click for hardcore sex, adults only.", "I will break your jaw.", "She is a gobshiteeee", "you are an idoit",
+    "Click for hardcore sex, adults only.", "I will break your jaw.", "She is a gobshiteeee", "you are an idiet",
 ]
 HARMLESS = [
     "The dictionary entry explains where the word idiot comes from.", "A bloody nose kept Ann at home.", "Rats and cockroaches were found in the cabin, said the inspector.", "Kill the stuck process and start the pump again.", "Great tits and blue tits visited the feeder.",
@@ -250,3 +250,25 @@ def test_leaks_both_ways(spark):
         got = leakage.find_leaks(dd, ii, max_automaton_items=bound)
         assert {(r["doc_id"], r["item_id"]) for r in got.where("run >= 10").collect()} == want
     assert leakage.find_leaks(dd.limit(0), ii).count() == 0 and leakage.find_leaks(dd, ii.limit(0)).count() == 0
+
+
+# --- 8
+
+
+def test_stuffed_pages(spark):
+    from duoscope.llm import stuffing
+
+    rng = random.Random(12)
+    nouns, verbs = ["river", "house", "garden", "road", "mill", "market", "bridge", "school", "church", "field"], ["opened", "painted", "sold", "crossed", "found", "closed"]
+    said = lambda: f"The {rng.choice(nouns)} near the {rng.choice(nouns)} was {rng.choice(verbs)} in the spring, and nobody in the town knew why it had been {rng.choice(verbs)}."
+    menu = "Home\nContact\nNews\n"
+    prose = [(i, "en", menu + "\n".join(said() for _ in range(rng.randint(4, 9))) + "\nBack to top.") for i in range(300)]
+    keys = ["cheap boots", "gold watch", "vape juice", "casino bonus", "payday loan"]
+    spam = [(1000 + i, "en", menu + ", ".join(rng.choice(keys) for _ in range(60))) for i in range(10)]
+    verse = [(2000, "en", menu + "\n".join(["The river by the mill was crossed in the spring, and nobody knew why."] * 12))]
+    odd = [(3000, None, None), (3001, "en", ""), (3002, "xx", " \n "), (3003, "en", "boots"), (3004, "ru", "слово дело " * 40), (1000, "en", spam[0][2]), (3005, "en", said() * 20_000)]
+    df = spark.createDataFrame(prose + spam + verse + odd, "doc_id long, lang string, text string").withColumn("words", F.lit("x")).withColumn("length", F.lit(1))
+    got = [r["doc_id"] for r in stuffing.classify(df).where("stuffed").collect()]
+    assert {i for i, _, _ in spam} <= set(got)
+    assert not {i for i, _, _ in prose + verse} & set(got) and 3005 not in got and 3003 not in got
+    assert stuffing.classify(df.limit(0)).count() == 0
