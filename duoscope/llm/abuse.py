@@ -118,10 +118,10 @@ ORDINARY = "books boots boobed harem idiom idioms fifth named baked salvages sal
 
 _INVISIBLE = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤︀-️﻿]")
 # Letters that look like Latin ones.
-_LOOKS = str.maketrans(
-    "абвгдезијклмнорстухіїѕћԁԛԝһɡɑɩɪıɴʀʏαβεηικνορτυχωγµ",
-    "abbrдeзujklmhopctyxiishdqwhgaliinryabeniknoptuxwyu".replace("д", "d").replace("з", "z"),
-)
+_LOOKS = str.maketrans(dict(
+    pair.split("=")
+    for pair in "а=a б=b в=b г=r д=d е=e з=z и=u ј=j к=k л=l м=m н=h о=o р=p с=c т=t у=y х=x і=i ї=i ѕ=s ћ=h ԁ=d ԛ=q ԝ=w һ=h ɡ=g ɑ=a ɩ=l ɪ=i ı=i ɴ=n ʀ=r ʏ=y α=a β=b ε=e η=n ι=i κ=k ν=n ο=o ρ=p τ=t υ=u χ=x ω=w γ=y µ=u".split()
+))
 # Signs and digits written for letters.
 _SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "$": "s", "@": "a", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l"}
 _ANY = ""

@@ -56,15 +56,12 @@ def test_automaton_against_distance():
     def distance(a, b):
         row = list(range(len(b) + 1))
         for i, x in enumerate(a, 1):
-            row = [i] + [0] * len(b) if False else _next(row, i, x, b)
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y)))
+            row = new
         return row[-1]
 
-    def _next(row, i, x, b):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y)))
-        return new
-
     for _ in range(200):
         w = list(rng.choice(words))
         for _ in range(rng.randint(0, 3)):
