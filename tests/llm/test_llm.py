@@ -4,6 +4,7 @@ import importlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,6 +141,27 @@ def test_truncation_copies(spark):
     assert [r["row_key"] for r in truncation.cut_copies(v, ends).collect()] == [2]
 
 
+@pytest.mark.parametrize("pad", ["", " " * 15, " " * 400, "\n" * 300, "." * 200, "…" * 150, ". " * 100, "\u2003" * 150])
+def test_truncation_padded_ends(pad):
+    cut = "The long garden wall by the old harbour was painted while the lantern stood in the"
+    texts = {"cut": cut, "whole": cut + " hall.", "quoted": f"\"{cut} hall.\"", "answer": "She counts them again, so the answer is 42", "notice": "N/A"}
+    read = lambda p: next(truncation._read_ends([pd.DataFrame({"row_key": range(len(texts)), "field": list(texts), "source": "m", "text": [t + p for t in texts.values()], "reference": None})])).set_index("field")
+    plain, padded = read(""), read(pad)
+    assert list(padded.index) == ["cut", "whole", "quoted", "answer"]
+    assert (plain[["raw", *truncation.CONTEXTS]] == padded[["raw", *truncation.CONTEXTS]]).all(None)
+    assert not padded["closed"]["cut"] or pad == "" and not plain["closed"]["cut"]
+    if not pad.strip():
+        assert padded["closed"].tolist() == [False, True, True, False] and padded["answer"]["answer"]
+
+
+def test_truncation_long_words():
+    text = "We went there. " + " ".join(c * 45 for c in "abcdefgh")
+    rows = [next(truncation._read_ends([pd.DataFrame({"row_key": [1], "field": "t", "source": "m", "text": [t], "reference": None})])) for t in (text, text[6:])]
+    whole = truncation.Words([text])
+    assert all(r[c][0] == (whole.contexts()[c][-1:] & truncation._EVEN).view(np.int64)[0] for r in rows for c in truncation.CONTEXTS)
+    assert rows[0]["raw"][0] == "h" * 45
+
+
 def test_truncation_empty(spark):
     df = spark.createDataFrame([], "k long, m string, t string")
     assert truncation.truncated(truncation.values(df, "k", ["t"], "m")).count() == 0
