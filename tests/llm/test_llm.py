@@ -141,6 +141,31 @@ def test_truncation_copies(spark):
     assert [r["row_key"] for r in truncation.cut_copies(v, ends).collect()] == [2]
 
 
+def test_truncation_copies_of_all_kinds(spark):
+    w = [f"word{i}" for i in range(60)]
+    other = ["extra", *w[1:52], "goes", "elsewhere", *[f"more{i}" for i in range(9)]]
+    texts = {
+        1: " ".join(w) + ".", 2: " ".join(w[:55]) + ".", 3: " ".join(w[:52]) + " = 12", 4: " ".join([*w[:52], "=", "12", "kettles", *w[55:]]) + ".",
+        5: " ".join(other) + ".", 6: "new start of " + " ".join(w[4:56]) + "?", 7: " ".join(w[:20] + w[21:56]), 8: " ".join(w[:50]) + " wor", 9: " ".join(w[:52]) + " goes", 10: " ".join(w[30:]),
+    }
+    v = truncation.values(spark.createDataFrame([(k, "m", t) for k, t in texts.items()], "k long, m string, t string"), "k", ["t"], "m")
+    assert {r["row_key"] for r in truncation.cut_copies(v).collect()} == {2, 3, 6, 7, 8, 9}
+    assert {r["row_key"] for r in truncation.truncated(v).where("by_copy and cut").collect()} == {2, 3, 6, 7, 8, 9}
+
+
+def test_distance_of_texts():
+    rng = random.Random(6)
+    for _ in range(200):
+        p, t = [rng.choice("abc") for _ in range(rng.randint(0, 9))], [rng.choice("abc") for _ in range(rng.randint(0, 14))]
+        row = list(range(len(p) + 1))
+        for x in t:
+            new = [row[0] + 1]
+            for j, y in enumerate(p, 1):
+                new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y)))
+            row = new
+        assert truncation._distance(p, t) == row[-1]
+
+
 @pytest.mark.parametrize("pad", ["", " " * 15, " " * 400, "\n" * 300, "." * 200, "…" * 150, ". " * 100, "\u2003" * 150])
 def test_truncation_padded_ends(pad):
     cut = "The long garden wall by the old harbour was painted while the lantern stood in the"
