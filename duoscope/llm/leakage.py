@@ -2,10 +2,10 @@
 
 Pigeonhole edit matching.  A leaked passage is ``PASSAGE`` consecutive words
 of an item.  With an error budget of one word a passage falls into two pieces
-of which one is untouched, so every item is cut into aligned pieces of
-``PASSAGE // (budget + 1)`` words and a document is searched for exact piece
-hits only.  Ten words in a row always hold one whole aligned piece of five,
-hence no unaltered passage is missed.  Each hit is verified: Myers'
+of which one is untouched and at least ``PASSAGE // (budget + 1)`` words long,
+wherever it starts in the item.  So the pieces of that length at every word of
+an item are indexed and a document is searched for exact piece hits only, which
+misses no passage within the budget.  Each hit is verified: Myers'
 bit-parallel algorithm, over words as symbols, gives the smallest edit
 distance between the item's passage around the piece and the document there,
 and the run of equal words through the piece is measured.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 #: Words of a passage and word edits allowed in it.
 PASSAGE, BUDGET = 10, 1
-#: Items up to which the piece automaton is sent to every task (about 1 KB an item); more are joined by piece.
+#: Items up to which the piece automaton is sent to every task (about 35 KB an item of 42 words); more are joined by piece.
 MAX_AUTOMATON_ITEMS = 50_000
 
 _NOT_WORD = re.compile(r"[^a-z0-9]+")
@@ -59,8 +59,8 @@ def myers(pattern: list[str], text: list[str]) -> int:
 
 
 def pieces(item: list[str], size: int) -> list[tuple[int, str]]:
-    """Aligned pieces of an item: (first word, piece)."""
-    return [(i, " ".join(item[i : i + size])) for i in range(0, len(item) - size + 1, size)]
+    """Pieces of an item at every word: (first word, piece)."""
+    return [(i, " ".join(item[i : i + size])) for i in range(len(item) - size + 1)]
 
 
 def _verified(doc: list[str], item: list[str], at: int, i: int, size: int, passage: int, budget: int) -> tuple[int, int, int, int]:
@@ -112,7 +112,7 @@ class PieceIndex:
             return
         joined = f" {' '.join(doc)} "
         best: dict[int, tuple[int, int, int, int]] = {}
-        done: dict[int, set[int]] = defaultdict(set)
+        done: dict[int, dict[int, int]] = defaultdict(dict)
         last, at = 0, 0
         for end, (length, hits) in self.automaton.iter(joined):
             start = end - length
@@ -120,11 +120,11 @@ class PieceIndex:
             last = start
             first = at - 1
             for k, i in hits:
-                if first - i in done[k]:  # on the diagonal of a long run that is already measured
+                if i < done[k].get(first - i, 0):  # in a long run that is already measured
                     continue
                 got = _verified(doc, self.texts[k], first, i, self.size, self.passage, self.budget)
                 if got[0] >= self.passage:
-                    done[k].add(first - i)
+                    done[k][first - i] = got[3] + got[0]
                 if k not in best or (got[0], -got[1]) > (best[k][0], -best[k][1]):
                     best[k] = got
         for k, got in best.items():
@@ -171,7 +171,7 @@ def _joined(documents: DataFrame, items: DataFrame, passage: int, budget: int) -
     )
     its = items.selectExpr("item_id", "question", "split(trim(regexp_replace(lower(question), '[^a-z0-9]+', ' ')), ' ') as w")
     item_pieces = its.where(f"size(w) >= {size}").selectExpr(
-        "item_id", f"explode(array_distinct(transform(sequence(0, {last}, {size}), i -> xxhash64(array_join(slice(w, i + 1, {size}), ' '))))) as piece"
+        "item_id", f"explode(array_distinct(transform(sequence(0, {last}), i -> xxhash64(array_join(slice(w, i + 1, {size}), ' '))))) as piece"
     )
     pairs = doc_pieces.join(item_pieces, "piece").select("doc_id", "item_id").distinct()
     texts = pairs.join(docs.select("doc_id", "text"), "doc_id").join(items.select("item_id", "question"), "item_id")

@@ -296,6 +296,20 @@ def test_leaks_both_ways(spark):
     assert leakage.find_leaks(dd.limit(0), ii).count() == 0 and leakage.find_leaks(dd, ii.limit(0)).count() == 0
 
 
+def test_near_leaks_at_every_offset(spark):
+    item = [f"w{i}" for i in range(24)]
+    docs = []
+    for a in range(15):
+        for e in range(10):
+            quoted = item[a : a + 10]
+            docs += ["x y " + " ".join(q) + " z" for q in (quoted[:e] + ["other"] + quoted[e + 1 :], quoted[:e] + quoted[e + 1 :], quoted[:e] + ["more"] + quoted[e:])]
+    docs.append(" ".join(item[:4] + ["other"] + item[5:8] + ["other"] + item[9:10]))
+    dd, ii = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, question string")
+    for bound in (1_000, 0):
+        got = {r["doc_id"]: r["distance"] for r in leakage.find_leaks(dd, ii, max_automaton_items=bound).collect()}
+        assert set(got) == set(range(len(docs) - 1)) and max(got.values()) == 1
+
+
 # --- 8
 
 
