@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from duoscope.functions import grading
 
@@ -71,10 +73,16 @@ def recount(audits: DataFrame, keys: list[str]) -> DataFrame:
     return with_rates(audits.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in COUNTS]))
 
 
+@F.pandas_udf(StringType())
+def _percent(x: pd.Series, signed: pd.Series) -> pd.Series:
+    """One decimal, rounded by the exact value of the double, ties to even; the JVM rounds its shortest spelling, ties up."""
+    return pd.Series([None if pd.isna(v) else f"{v:+.1%}" if s else f"{v:.1%}" for v, s in zip(x, signed)], dtype=object)
+
+
 def summary_text(summary: DataFrame) -> DataFrame:
     """A block of text per audit summary, worded by kind of benchmark."""
-    pct = lambda c: F.format_string("%.1f%%", F.col(c) * 100)
-    gap = F.format_string("%+.1f%%", F.col("accuracy_gap") * 100)
+    pct = lambda c, signed=False: F.coalesce(_percent(F.col(c), F.lit(signed)), F.lit("null%"))
+    gap = pct("accuracy_gap", True)
     tox = F.col("benchmark_type") == "toxicity"
     word = F.when(tox, "Refusal rate").otherwise("Accuracy")
     lines = F.concat_ws(

@@ -101,6 +101,12 @@ def audit_summary_text(spark: SparkSession, root: str) -> DataFrame:
     return audit.summary_text(df).select("audit_id", "summary")
 
 
+@PLAN.query()
+def audit_summary_text_whole(spark: SparkSession, root: str) -> DataFrame:
+    """audit_summary_text over all audits, ties and small gaps too."""
+    return audit.summary_text(table(spark, root, "audits")).select("audit_id", "summary")
+
+
 def _means_sql(keys: str, source: str = "audits") -> str:
     k = keys + ", " if keys else ""
     return f"select {k}{r('avg(original_accuracy)')} as original_accuracy, {r('avg(transformed_accuracy)')} as transformed_accuracy, {r('avg(accuracy_gap)')} as accuracy_gap, sum(total_pairs)::bigint as total_pairs from {source}" + (f" group by {keys}" if keys else "")
@@ -321,6 +327,13 @@ def bh_adjust(spark: SparkSession, root: str) -> DataFrame:
     return statistics.bh_adjust(tests, "p", ["audit_id"]).select("audit_id", rounded("p_adjusted").alias("p_adjusted"))
 
 
+@PLAN.query()
+def bh_adjust_whole(spark: SparkSession, root: str) -> DataFrame:
+    """bh_adjust over all audits: one family of exact and chi-squared tests."""
+    tests = table(spark, root, "audits").select("audit_id", F.round(stats.mcnemar_p(F.col(_B), F.col(_C)), 9).alias("p"))
+    return statistics.bh_adjust(tests, "p", ["audit_id"]).select("audit_id", rounded("p_adjusted").alias("p_adjusted"))
+
+
 @PLAN.query()
 def significance(spark: SparkSession, root: str) -> DataFrame:
     """Paired confusion, McNemar's test and adjusted p per model, benchmark and dialect."""

@@ -108,6 +108,15 @@ def check_answer(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+@PLAN.query()
+def check_answer_whole(spark: SparkSession, root: str) -> DataFrame:
+    """check_answer over all answers, also null and other than plain ones."""
+    df = table(spark, root, "audit_pairs")
+    return df.select(
+        "audit_key", grading.normalize_answer(F.col("transformed_answer")).alias("normal"), grading.check_answer(F.col("transformed_answer"), F.col("expected_answer")).alias("correct")
+    )
+
+
 def _grade_sql(c: str) -> str:
     return f"""(case when kind = 'toxicity' then {_refusal_sql(c)} when expected_answer is not null and expected_answer <> ''
       then coalesce({_normal_sql(_answer_sql(c))} = {_normal_sql('expected_answer')}, false) end)"""
@@ -141,6 +150,12 @@ def clean_rewrite(spark: SparkSession, root: str) -> DataFrame:
     return df.select("pair_key", rewrite.clean_rewrite(F.col("transformed")).alias("cleaned"))
 
 
+@PLAN.query()
+def clean_rewrite_whole(spark: SparkSession, root: str) -> DataFrame:
+    """clean_rewrite over all rewrites, whatever characters they have."""
+    return table(spark, root, "generated_pairs").select("pair_key", rewrite.clean_rewrite(F.col("transformed")).alias("cleaned"))
+
+
 _SOLVED_SQL = f"""((regexp_matches(transformed, {_quote('(?i)' + '|'.join(f'(?:{p})' for p in rewrite.SOLVED))}) and length(transformed) > length(original) * 1.5)
  or (ends_with({_STRIP.format('original')}, '?') and not ends_with({_STRIP.format('transformed')}, '?') and length(transformed) > length(original) * 1.3))"""
 

@@ -1,11 +1,16 @@
 """Operators on small tables: quirks, ties, nulls, empty tables."""
 
+import math
+import re
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from duoscope.functions import rewrite
 from duoscope.operators import audit, generation, reports, shards, statistics, validation
+from duoscope.plans import registry
 from duoscope.sources import benchmarks
 
 GRADED = "id string, model string, original_correct boolean, transformed_correct boolean, error string"
@@ -17,6 +22,54 @@ def test_confusion_nulls_and_errors(spark):
     assert (r["total_pairs"], r["both_wrong"], r["errors"], r["transformed_only_correct"], r["original_correct"]) == (3, 1, 1, 1, 1)
 
 
+def whole(spark, tmp_path, name, table, rows, schema):
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{table}.parquet")
+    return {r[0]: tuple(r)[1:] for r in registry.queries()[name](spark, str(tmp_path)).collect()}
+
+
+def test_whole_rewrites(spark, tmp_path):
+    def clean(t):
+        t = t.strip()
+        for p in [*rewrite.LEADING, *rewrite.TRAILING]:
+            t = re.sub(p, "", t, flags=re.I)
+        return (t[1:-1] if len(t) > 1 and t[0] == t[-1] and t[0] in "'\"" else t).strip()
+
+    texts = ["Sure, caf\u00e9s close early.", "\u201cWhere\u2019s the tin?\u201d", "A broken\ufffd end", "Oh, tabs\there", "Here's the answer: na\u00efve\r\nlines", "'\u00e9t\u00e9'", "plain"]
+    got = whole(spark, tmp_path, "clean_rewrite_whole", "generated_pairs", [*enumerate(texts), (99, None)], "pair_key long, transformed string")
+    assert got == {**{i: (clean(t),) for i, t in enumerate(texts)}, 99: (None,)}
+
+
+def test_whole_answers(spark, tmp_path):
+    rows = [(1, None, "5"), (2, "caf\u00e9", "CAF\u00c9 "), (3, "5\u20ac", "5"), (4, "5.0", "5"), (5, "B", None), (6, "\u00a0B", "b"), (7, "a\tb", "a\tB")]
+    got = whole(spark, tmp_path, "check_answer_whole", "audit_pairs", rows, "audit_key long, transformed_answer string, expected_answer string")
+    assert {k: v[1] for k, v in got.items()} == {1: False, 2: True, 3: False, 4: True, 5: False, 6: True, 7: True} and got[1][0] is None and got[2][0] == "caf\u00e9"
+
+
+def test_whole_bh(spark, tmp_path):
+    rows = [(1, 0, 0), (2, 3, 9), (3, 30, 5), (4, 20, 4), (5, 200, 150), (6, 13, 12), (7, 1, 0), (8, 60, 61)]
+
+    def p(b, c):
+        n = b + c
+        if n == 0:
+            return 1.0
+        return min(1.0, 2 * sum(math.comb(n, k) for k in range(min(b, c) + 1)) / 2**n) if n < 25 else math.erfc(math.sqrt((abs(b - c) - 1) ** 2 / n / 2))
+
+    ps = {i: p(b, c) for i, b, c in rows}
+    want = {i: min(1.0, min(x * len(ps) / sum(y <= x for y in ps.values()) for x in ps.values() if x >= ps[i])) for i in ps}
+    got = whole(spark, tmp_path, "bh_adjust_whole", "audits", rows, "audit_id long, original_only_correct long, transformed_only_correct long")
+    assert {i: v[0] for i, v in got.items()} == pytest.approx(want, abs=2e-6)
+
+
+def test_whole_summaries(spark, tmp_path):
+    cells = [(0.5, 0.5, 0.0), (0.1225, 0.1235, 0.0004), (0.0625, 0.0005, -0.0004), (0.0015, 0.0025, -0.1225), (1.0, 0.9375, -0.0625)]
+    rows = [(i, "b", "d", "m", 8, 0, o, t, g, "toxicity" if i % 2 else "numerical") for i, (o, t, g) in enumerate(cells)]
+    schema = "audit_id long, benchmark string, dialect string, model string, total_pairs long, errors long, original_accuracy double, transformed_accuracy double, accuracy_gap double, benchmark_type string"
+    got = whole(spark, tmp_path, "audit_summary_text_whole", "audits", rows, schema)
+    for i, (o, t, g) in enumerate(cells):
+        w = "Refusal rate" if i % 2 else "Accuracy"
+        assert got[i] == (f"Audit: b / d / m\nPairs: 8, errors: 0\n{w} (SAE): {o:.1%}\n{w} (dialect): {t:.1%}\nGap: {g:+.1%}",)
+
+
 def test_confusion_only_errors_and_empty(spark):
     r = audit.confusion(spark.createDataFrame([("1", "m", None, None, "x")], GRADED), ["model"]).first()
     assert r["total_pairs"] == 0 and r["accuracy_gap"] == 0.0
