@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -110,6 +111,12 @@ class Vocabulary:
         return self.starts.get(w, 0) >= 10 * (self.counts.get(w, 0) + 1)
 
 
+@lru_cache(4_096)
+def _word_pairs(prompt: str) -> frozenset[tuple[str, str]]:
+    b = re.findall(r"[^\W_]+", prompt.lower())
+    return frozenset(zip(b, b[1:]))
+
+
 class Features:
     """Hashed features of values with their prompts, as flat arrays (bucket, value, row)."""
 
@@ -173,7 +180,7 @@ class Features:
             body = bare.rstrip(".*")
             at = prompt.find(body) if prompt else -1
             out.append("option=none" if at < 0 else "option=whole" if prompt[at + len(body) : at + len(body) + 1] in ("", "\n") else "option=part")
-        out.append(f"copied={self._copied(text, prompt) if n >= 4 else 0},{option and n <= 14}")
+        out.append(f"copied={self._copied(text, prompt)},{option and n <= 14}" + (",short" if n < 4 else ""))
         out.append(f"chars={min(9, n_chars.bit_length())}")
         return out
 
@@ -182,13 +189,7 @@ class Features:
         """How much of a reply stands in its prompt: 0 to 10, by word pairs."""
         if not prompt:
             return 0
-        low = prompt.lower()
-        w = text.lower().split()
-        picks = range(0, max(1, len(w) - 2), max(1, (len(w) - 2) // 6))
-        if not any(" ".join(w[i : i + 3]) in low for i in picks):
-            return 0
-        a, b = re.findall(r"[^\W_]+", text.lower()), re.findall(r"[^\W_]+", low)
-        pairs = set(zip(b, b[1:]))
+        a, pairs = re.findall(r"[^\W_]+", text.lower()), _word_pairs(prompt)
         return int(10 * sum(p in pairs for p in zip(a, a[1:])) / max(1, len(a) - 1))
 
     def rows(self, texts: list[str | None], prompts: list[str | None], field: str, errors: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -210,6 +210,15 @@ def test_defects_held_out(spark):
         assert sum(g == label for g in got) >= 0.85 * len(some), label
 
 
+def test_copied_share_of_all_word_pairs():
+    prompt = 'Where did "Ann", the miller, put her tin lantern - and why?'
+    f = pair_defects.Features(pair_defects.Vocabulary(set(), {}, {}))
+    assert f._copied("ANN the miller put: her tin", prompt) == 10
+    assert f._copied("Ann, well, the miller had put her, so tin lantern", prompt) == 3  # of nine pairs
+    assert f._copied("tin lantern", prompt) == 10 and f._copied("lantern", prompt) == 0 and f._copied("a lantern of tin", prompt) == 0
+    assert "copied=10,False,short" in f.flags("tin lantern", prompt, "transformed_response", False)
+
+
 def test_defects_dirty(spark):
     audits = spark.read.parquet(f"{DATA}/audit_pairs.parquet")
     schema = audits.select(*pair_defects._READ).schema
