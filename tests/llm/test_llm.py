@@ -131,14 +131,15 @@ def test_truncation_planted(spark):
     assert {23, 24, 25, 26}.isdisjoint(got)
 
 
+def _copies(spark, texts):
+    v = truncation.values(spark.createDataFrame([(k, "m", t) for k, t in texts.items()], "k long, m string, t string"), "k", ["t"], "m")
+    return v, {r["row_key"] for r in truncation.truncated(v).where("by_copy and cut").collect()}
+
+
 def test_truncation_copies(spark):
     w = [f"word{i}" for i in range(60)]
     long = " ".join(w) + "."
-    rows = [(1, "m", long), (2, "m", " ".join(w[:55])), (3, "m", long), (4, "m", "short one.")]
-    df = spark.createDataFrame(rows, "k long, m string, t string")
-    v = truncation.values(df, "k", ["t"], "m")
-    ends = spark.createDataFrame([(2, "t")], "row_key long, field string")
-    assert [r["row_key"] for r in truncation.cut_copies(v, ends).collect()] == [2]
+    assert _copies(spark, {1: long, 2: " ".join(w[:55]), 3: long, 4: "short one."})[1] == {2}
 
 
 def test_truncation_copies_of_all_kinds(spark):
@@ -148,9 +149,58 @@ def test_truncation_copies_of_all_kinds(spark):
         1: " ".join(w) + ".", 2: " ".join(w[:55]) + ".", 3: " ".join(w[:52]) + " = 12", 4: " ".join([*w[:52], "=", "12", "kettles", *w[55:]]) + ".",
         5: " ".join(other) + ".", 6: "new start of " + " ".join(w[4:56]) + "?", 7: " ".join(w[:20] + w[21:56]), 8: " ".join(w[:50]) + " wor", 9: " ".join(w[:52]) + " goes", 10: " ".join(w[30:]),
     }
-    v = truncation.values(spark.createDataFrame([(k, "m", t) for k, t in texts.items()], "k long, m string, t string"), "k", ["t"], "m")
-    assert {r["row_key"] for r in truncation.cut_copies(v).collect()} == {2, 3, 6, 7, 8, 9}
-    assert {r["row_key"] for r in truncation.truncated(v).where("by_copy and cut").collect()} == {2, 3, 6, 7, 8, 9}
+    assert _copies(spark, texts)[1] == {2, 3, 6, 7, 8, 9}
+
+
+def _planted(rng, n):
+    """Texts of some sentences over a small vocabulary, and for each a cut copy with the share of its words that is kept."""
+    vocab = [f"{a}{b}" for a in ["ban", "cor", "del", "fis", "gol", "hum", "jas", "kel"] for b in ["ter", "min", "dow", "vel", "rin", "sto"]]
+    whole, cuts = {}, {}
+    for i in range(n):
+        words = [rng.choice(vocab) for _ in range(rng.randint(30, 60))]
+        for k in range(8, len(words) - 4, 9):
+            words[k] += "."
+        words[-1] += "."
+        whole[i] = " ".join(words)
+    for share in (40, 60, 75, 85, 95):
+        for i in range(n):
+            words = whole[i].split()
+            at = max(7, len(words) * share // 100)
+            while words[at - 1].endswith("."):
+                at -= 1
+            cuts[share * 1000 + i] = words[:at]
+    return whole, cuts
+
+
+def _contained(a, b):
+    x, y = ({tuple(" ".join(t).replace(".", "").split()[i : i + 5]) for i in range(len(t) - 4)} for t in (a, b))
+    return len(x & y) / len(x)
+
+
+@pytest.mark.parametrize("kind", ["plain", "mark", "broken", "first word altered", "middle word altered"])
+def test_truncation_recall_of_copies(spark, kind):
+    rng = random.Random(5)
+    whole, cuts = _planted(rng, 60)
+    for k, words in cuts.items():
+        if kind == "broken":
+            words[-1] = words[-1][:3]
+        elif kind != "plain" and kind != "mark":
+            words[0 if kind.startswith("first") else len(words) // 2] = "other"
+    texts = {**whole, **{k: " ".join(w) + ("." if kind == "mark" else "") for k, w in cuts.items()}}
+    v, got = _copies(spark, texts)
+    assert not got & set(whole)
+    for share in (40, 60, 75, 85, 95):
+        some = {k for k in cuts if k // 1000 == share}
+        at_least = 0.9 if share > 40 or not kind.endswith("altered") else 0.8  # one word in twelve costs five of eight shingles
+        assert len(got & some) >= at_least * len(some), (share, len(got & some))
+
+
+def test_hot_group_of_copies(spark):
+    """Texts that differ in one number each, and cut copies of some of them."""
+    body = "the harbour gate of the old town was opened again by order number {} and the people went through it with lanterns in their hands."
+    texts = {i: "We heard that " + body.format(i + 1000) for i in range(400)}
+    texts |= {1000 + i: texts[i].split(" lanterns")[0] for i in range(0, 400, 8)}
+    assert _copies(spark, texts)[1] == {k for k in texts if k >= 1000}
 
 
 def test_distance_of_texts():
@@ -170,10 +220,10 @@ def test_distance_of_texts():
 def test_truncation_padded_ends(pad):
     cut = "The long garden wall by the old harbour was painted while the lantern stood in the"
     texts = {"cut": cut, "whole": cut + " hall.", "quoted": f"\"{cut} hall.\"", "answer": "She counts them again, so the answer is 42", "notice": "N/A"}
-    read = lambda p: next(truncation._read_ends([pd.DataFrame({"row_key": range(len(texts)), "field": list(texts), "source": "m", "text": [t + p for t in texts.values()], "reference": None})])).set_index("field")
+    read = lambda p: next(truncation._read_values([pd.DataFrame({"row_key": range(len(texts)), "field": list(texts), "source": "m", "text_hash": range(len(texts)), "text": [t + p for t in texts.values()], "reference": None})])).set_index("field")
     plain, padded = read(""), read(pad)
     assert list(padded.index) == ["cut", "whole", "quoted", "answer"]
-    assert (plain[["raw", *truncation.CONTEXTS]] == padded[["raw", *truncation.CONTEXTS]]).all(None)
+    assert (plain[["end_id", "last", "prefix", "bits"]] == padded[["end_id", "last", "prefix", "bits"]]).all(None)
     assert not padded["closed"]["cut"] or pad == "" and not plain["closed"]["cut"]
     if not pad.strip():
         assert padded["closed"].tolist() == [False, True, True, False] and padded["answer"]["answer"]
@@ -181,12 +231,45 @@ def test_truncation_padded_ends(pad):
 
 def test_truncation_long_words():
     text = "We went there. " + " ".join(c * 45 for c in "abcdefgh")
-    rows = [next(truncation._read_ends([pd.DataFrame({"row_key": [1], "field": "t", "source": "m", "text": [t], "reference": None})])) for t in (text, text[6:])]
+    rows = [next(truncation._distinct_ends([pd.DataFrame({"text": [t]})])) for t in (text, text[6:])]
     whole = truncation.Words([text])
     assert all(r[c][0] == (whole.contexts()[c][-1:] & truncation._EVEN).view(np.int64)[0] for r in rows for c in truncation.CONTEXTS)
     assert rows[0]["raw"][0] == "h" * 45
 
 
+def test_words_against_regex():
+    """The reader of bytes gives the words and marks that a plain regular expression gives."""
+    import re
+
+    from duoscope.llm.tokens import Words
+
+    rng = random.Random(11)
+    alphabet = ["a", "B", "é", "Ä", "7", "-", "'", "’", " ", " ", ".", "…", "?", "\n", "_", "—", "\u2003", ",", "ß", "य"]
+    texts = ["", None, "x", " ", "."] + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(500)]
+    w = Words(texts)
+    want, doc, closed = [], [], []
+    for i, t in enumerate(texts):
+        found = re.findall(r"[^\W_]+(?:['’\-][^\W_]+)*|[.?!…।\n]", t or "")
+        for k, x in enumerate(found):
+            if x not in "….?!।\n":
+                want.append(x.lower().replace("’", "'"))
+                doc.append(i)
+                closed.append(k + 1 < len(found) and found[k + 1] in "….?!।\n")
+    assert [w.word(i) for i in range(len(w.ids))] == want and w.doc.tolist() == doc and w.closed.tolist() == closed
+    assert w.counts.tolist() == [doc.count(i) for i in range(len(texts))]
+    assert len(set(w.exact.tolist())) == len({x.lower().translate({0xC4: 0xE4}) for x in want})
+
+
+def test_bloom_loses_nothing(spark):
+    from duoscope.llm.tokens import Bloom
+
+    keys = spark.range(5_000).selectExpr("xxhash64(id) as k")
+    f = Bloom.of(keys, "k")
+    mine = keys.toPandas()["k"].to_numpy().view(np.uint64)
+    assert f.has(mine).all() and f.has(np.arange(1, 5_001, dtype=np.uint64) * np.uint64(12345)).mean() < 0.05
+    assert not Bloom.of(keys.limit(0), "k").has(mine).any()
+
+
 def test_truncation_empty(spark):
     df = spark.createDataFrame([], "k long, m string, t string")
     assert truncation.truncated(truncation.values(df, "k", ["t"], "m")).count() == 0
