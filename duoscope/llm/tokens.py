@@ -107,6 +107,9 @@ class Words:
         self.letter = _LOWER[head]  # the first byte in lower case
         self.digit = digit
         self.at_end = e == end  # nothing at all stands behind the word
+        self.length = e - s  # in bytes
+        inside = np.concatenate((np.zeros(1, np.int32), np.cumsum(joins, dtype=np.int32)))
+        self.joined = inside[e] > inside[s]
         self.exact = exact
         self.ids = np.where(digit, np.uint64(_NUMBER), exact)
         self.masked = np.where(self.capital & ~self.first, np.uint64(_NAME), self.ids)

@@ -277,34 +277,92 @@ def test_truncation_empty(spark):
 # --- 5
 
 
-def test_defects_held_out(spark):
+# Written for this test; they stand neither in the tables nor in the generators.
+REFUSED = [
+    "Apologies, but writing such a letter is beyond what I am willing to do.", "I will have to turn this one down.", "Sorry, I don't do that kind of thing.", "I can't give you an answer to that question.", "As an assistant I cannot support a request like this.",
+    "No, I won't write anything of the sort.", "This is not something I'm allowed to discuss.", "I must decline to go on with this.", "Unfortunately I am not able to reply to such messages.", "My guidelines do not let me respond to this request.",
+    "I'm sorry, I can't do what you ask here.", "I would prefer not to answer this.", "I refuse to take part in this conversation.", "That request violates the policy I follow, so I won't help.", "I am unable to produce content of that nature.",
+]
+STRANGE = [
+    "Ich glaube, dass die Lampen schon am Samstag verkauft wurden.", "Nous devons d'abord soustraire les pommes qui ont été mangées.", "Creo que el tren llegó tarde porque llovía mucho.", "Penso che la risposta giusta sia la seconda.", "Wij hebben de boten gisteren naar de haven gebracht.", "Myślę, że sąsiedzi przyjdą dopiero jutro wieczorem.",
+    "Jag tror att det finns tolv äpplen kvar i lådan.", "Она сказала, что вернётся домой только завтра.", "Minä luulen, että kissat nukkuvat vielä.", "Bence çocuklar bugün okula gitmedi.", "Pienso que no hay ninguna diferencia entre los dos.", "Donc il manque encore quinze pièces.", "先に箱の中のりんごを数えます。", "मुझे लगता है कि वे कल आएंगे।", "Eu acho que os meninos foram embora cedo.",
+]
+
+
+def _verdicts(model, features, texts, prompts, field="transformed_response"):
+    i, v, n = features.rows(texts, prompts, field, [False] * len(texts))
+    return model.verdicts(model.scores(i, v, n, len(texts)))
+
+
+@pytest.fixture(scope="session")
+def defects(spark):
     audits = spark.read.parquet(f"{DATA}/audit_pairs.parquet")
     rows = [r.asDict() for r in audits.select(*pair_defects._READ).collect()]
-    model, vocabulary = pair_defects.train(rows)
-    f = pair_defects.Features(vocabulary)
+    vocabulary = pair_defects.vocabulary(audits)
+    return rows, pair_defects.train(rows, vocabulary), pair_defects.Features(vocabulary)
+
+
+def test_defects_held_out(defects):
+    rows, model, f = defects
     rng = np.random.default_rng(5)
     base = [r for r in rows if r["transformed_response"] and r["transformed_prompt"]]
-    for label, make in (("refusal", lambda r: pair_defects._refusal(rng)), ("language", lambda r: pair_defects._foreign(rng)), ("copy", lambda r: pair_defects._altered(pair_defects._question(r["transformed_prompt"]), rng)), ("empty", lambda r: str(rng.choice(pair_defects.PLACEHOLDERS)))):
+    prompts = [r["transformed_prompt"] for r in base[:15]]
+    assert sum(g == "refusal" for g in _verdicts(model, f, REFUSED, prompts)) >= 13
+    assert sum(g == "language" for g in _verdicts(model, f, STRANGE, prompts)) >= 14
+    assert sum(g == "language" for g in _verdicts(model, f, STRANGE, prompts, "transformed_answer")) >= 14
+    for label, make in (("copy", lambda r: pair_defects._altered(pair_defects._question(r["transformed_prompt"]), rng)), ("empty", lambda r: str(rng.choice(pair_defects.PLACEHOLDERS)))):
         some = [base[i] for i in rng.integers(0, len(base), 120)]
-        texts = [make(r) for r in some]
-        i, v, n = f.rows(texts, [r["transformed_prompt"] for r in some], "transformed_response", [False] * len(some))
-        got = model.verdicts(model.scores(i, v, n, len(some)))
+        got = _verdicts(model, f, [make(r) for r in some], [r["transformed_prompt"] for r in some])
         assert sum(g == label for g in got) >= 0.85 * len(some), label
 
 
+def test_parts_do_not_stand_in_the_replies(defects):
+    """No generated refusal or foreign text of four words or more is a reply of the tables or a sentence of one."""
+    import re
+
+    rows, _, _ = defects
+    said = {s.strip(" .!?").lower() for r in rows for t in (r["original_response"], r["transformed_response"]) if t for s in re.split(r"(?<=[.?!])\s+|\n", t)}
+    rng = np.random.default_rng(1)
+    made = [make(rng).strip(" .!?").lower() for make in (pair_defects._refusal, pair_defects._foreign) for _ in range(2_000)]
+    assert sum(len(m.split()) > 3 and m in said for m in made) <= 0.01 * len(made)
+    for own in (*REFUSED, *STRANGE):
+        assert own.strip(" .!?").lower() not in said
+
+
+def test_refused_replies_of_the_tables(defects):
+    """Replies whose extracted answer says so are found, on both sides."""
+    rows, model, f = defects
+    for side in ("original", "transformed"):
+        some = [r for r in rows if r[f"{side}_answer"] == "refused" and r[f"{side}_response"]]
+        got = _verdicts(model, f, [r[f"{side}_response"] for r in some], [r[f"{side}_prompt"] for r in some], f"{side}_response")
+        assert sum(g == "refusal" for g in got) >= 0.9 * len(some) > 0
+
+
 def test_copied_share_of_all_word_pairs():
     prompt = 'Where did "Ann", the miller, put her tin lantern - and why?'
-    f = pair_defects.Features(pair_defects.Vocabulary(set(), {}, {}))
-    assert f._copied("ANN the miller put: her tin", prompt) == 10
-    assert f._copied("Ann, well, the miller had put her, so tin lantern", prompt) == 3  # of nine pairs
-    assert f._copied("tin lantern", prompt) == 10 and f._copied("lantern", prompt) == 0 and f._copied("a lantern of tin", prompt) == 0
-    assert "copied=10,False,short" in f.flags("tin lantern", prompt, "transformed_response", False)
+    copied = lambda t: int(pair_defects.Features.copied(pair_defects.Words([t, "else"]), pair_defects.Words([prompt, t]))[0])
+    assert copied("ANN the miller put: her tin") == 10
+    assert copied("Ann, well, the miller had put her, so tin lantern") == 3  # of nine pairs
+    assert copied("tin lantern") == 10 and copied("lantern") == 0 and copied("a lantern of tin") == 0
+    assert copied("") == 0
+
+
+def test_vocabulary_of_all_rows(spark):
+    schema = "audit_key long, original_prompt string, transformed_prompt string, original_response string, transformed_response string"
+    rows = [(i, "Count the lanterns there", None, "We have lanterns, and lan", "") for i in range(30)] + [(99, "rareword", "Zug fährt", "ok", None)]
+    v = pair_defects.vocabulary(spark.createDataFrame(rows, schema))
+    h = lambda *w: pair_defects.Words(list(w)).exact
+    assert v.is_known(h("lanterns", "count", "zug", "rareword")).tolist() == [True, True, False, False]
+    assert v.broken(h("lan", "lanterns", "zu")).tolist() == [True, False, False]
+    few = pair_defects.vocabulary(spark.createDataFrame(rows, schema), share=0.2)
+    assert len(few.counts[0]) <= 5
+    assert not pair_defects.vocabulary(spark.createDataFrame([], schema)).broken(h("lan")).any()
 
 
 def test_defects_dirty(spark):
     audits = spark.read.parquet(f"{DATA}/audit_pairs.parquet")
     schema = audits.select(*pair_defects._READ).schema
-    odd = [(1, None, None, None, None, None, None, None), (1, "m", "", "", "", "", "", ""), (2, "m", "Q?", "Q?", "word " * 40_000, "ok. #### 5", None, "x")]
+    odd = [(1, None, None, None, None, None, None, None, None), (1, "m", "", "", "", "", "", "", ""), (2, "m", "Q?", "Q?", "word " * 40_000, "ok. #### 5", None, None, "x")]
     df = audits.select(*pair_defects._READ).unionByName(spark.createDataFrame(odd, schema)).withColumn("field", F.lit(1)).withColumn("defect", F.lit(2))
     got = pair_defects.classify(df).where("audit_key in (1, 2)")
     assert got.where("field = 'original_response' and defect = 'empty'").count() >= 2
