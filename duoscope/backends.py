@@ -77,8 +77,25 @@ def health(client: Callable[[], Client]) -> bool:
         return False
 
 
-def rewrite_all(samples: DataFrame, dialect: Dialect, client: Callable[[], Client], attempts: int = 3, parallel: int | None = None) -> DataFrame:
-    """(id, original) with the model's rewrite or the error after the last attempt; ``parallel`` bounds concurrent calls."""
+def rewrite_all(samples: DataFrame, dialect: Dialect, client: Callable[[], Client], attempts: int = 3, parallel: int | None = None, rounds: int = 3) -> DataFrame:
+    """(id, original) with the model's rewrite or the error after the last attempt; ``parallel`` bounds concurrent calls.
+
+    A rewrite that is cleaned and found invalid is asked for again, up to
+    ``rounds`` times; each round reads only the rows that are still without one.
+    """
+    done, left = None, samples
+    for turn in range(rounds):
+        got = materialize(_rewrite_once(left, dialect, client, attempts, parallel))
+        last = turn == rounds - 1
+        part = got if last else got.where("error is null")
+        done = part if done is None else done.unionByName(part)
+        left = got.where("error is not null").select(*samples.columns)
+        if last or left.isEmpty():
+            break
+    return done
+
+
+def _rewrite_once(samples: DataFrame, dialect: Dialect, client: Callable[[], Client], attempts: int, parallel: int | None) -> DataFrame:
     system, template = dialect.prompts.get("system", SYSTEM), dialect.prompts.get("user_template", TEMPLATE).replace("{dialect}", dialect.name)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -362,9 +362,10 @@ def found(files: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def change_log(files: DataFrame, catalog: DataFrame) -> DataFrame:
     """All changes with the file's name and landing time and its position in its kind's history."""
-    log = changes(files, catalog).join(files.select("file_id", "file_name", "landed_at"), "file_id")
-    first = Window.partitionBy("doc_kind", "field", "change", "written_as", "observed_type")
-    return log.withColumn("first_landed_at", F.min("landed_at").over(first))
+    log = materialize(changes(files, catalog).join(files.select("file_id", "file_name", "landed_at"), "file_id"))
+    same = ["doc_kind", "field", "change", "written_as", "observed_type"]
+    first = log.groupBy(*same).agg(F.min("landed_at").alias("first_landed_at")).select(*[F.col(c).alias(f"_{c}") for c in same], "first_landed_at")  # a row per spelling and type
+    return log.join(first, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in same]).drop(*[f"_{c}" for c in same])
 
 
 @F.pandas_udf(StringType())
@@ -430,7 +431,7 @@ def unify(files: DataFrame, catalog: DataFrame, kind: str) -> DataFrame:
     names = stand_ins(headers(files.where(F.col("doc_kind") == kind), listed)).where("stands_in").select("nested", "name", "other", "score").limit(MAX_NAMES + 1).collect()
     if len(names) > MAX_NAMES:
         raise ValueError(f"more than {MAX_NAMES} field names stand in for declared ones")
-    alias = {nested: {d: [r["name"] for r in sorted(names, key=lambda r: -r["score"]) if r["nested"] == nested and r["other"] == d] for d in {r["other"] for r in names}} for nested in (False, True)}
+    alias = {nested: [(r["score"], r["name"], r["other"]) for r in names if r["nested"] == nested] for nested in (False, True)}
     top = {c["field_path"]: c["field_type"] for c in listed if "." not in c["field_path"]}
     sub = {c["field_path"].partition(".")[2]: c["field_type"] for c in listed if "." in c["field_path"]}
     element = ", ".join(f"{n}: {t.replace('long', 'bigint')}" for n, t in sub.items())
@@ -438,12 +439,15 @@ def unify(files: DataFrame, catalog: DataFrame, kind: str) -> DataFrame:
     schema = "file_id bigint, file_name string, landed_at timestamp, readable boolean, " + ", ".join(f"{n} {ddl(t)}" for n, t in top.items()) + ", extras map<string,string>"
 
     def take(doc: dict, declared: dict[str, str], nested: bool) -> tuple[dict, set[str]]:
-        out, used = {}, set()
-        for d, t in declared.items():
-            written = d if d in doc else next((u for u in alias[nested].get(d, []) if u in doc and u not in declared), None)
-            out[d] = None if written is None else _cast(doc[written], t)
-            used.add(written or d)
-        return out, used
+        # as in changes: a name and a field that are each other's best, so that no name fills two fields
+        rank = lambda pair: (-pair[0], -fits(doc[pair[1]], declared[pair[2]]))
+        open_ = [p for p in alias[nested] if p[1] in doc and doc[p[1]] is not None and p[1] not in declared and p[2] in declared and p[2] not in doc]
+        by_name, by_field = {}, {}
+        for pair in open_:
+            by_name[pair[1]] = min(by_name.get(pair[1], pair), pair, key=lambda x: (*rank(x), x[2]))
+            by_field[pair[2]] = min(by_field.get(pair[2], pair), pair, key=lambda x: (*rank(x), x[1]))
+        written = {d: p[1] for d, p in by_field.items() if by_name[p[1]] == p} | {d: d for d in declared if d in doc}
+        return {d: _cast(doc[written[d]], t) if d in written else None for d, t in declared.items()}, set(written.values())
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

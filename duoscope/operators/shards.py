@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duoscope.functions import labels
 from duoscope.operators import audit
+from duoscope.operators.positions import with_index
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
@@ -60,11 +64,11 @@ def work_list(planned: DataFrame, finished: DataFrame, keys: list[str]) -> DataF
 
 def slice_rows(df: DataFrame, order: list[Column | str], by: list[str], start: int | None = None, end: int | None = None) -> DataFrame:
     """Positions [start, end) of each group in a total order, counted from 0; negative bounds count from the end."""
-    w = Window.partitionBy(*by)
-    out = df.withColumn("idx", F.row_number().over(w.orderBy(*order)) - 1)
+    out = with_index(df, order, by)
     bound = lambda v: F.lit(v) if v >= 0 else F.greatest(F.col("_n") + v, F.lit(0))
     if min(start or 0, end or 0) < 0:
-        out = out.withColumn("_n", F.count("*").over(w))
+        sizes = out.groupBy(*by).agg(F.count("*").alias("_n")).select(*[F.col(c).alias(f"_by_{c}") for c in by], "_n")  # a row per group
+        out = out.join(sizes, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by])).drop(*[f"_by_{c}" for c in by])
     if start is not None:
         out = out.where(F.col("idx") >= bound(start))
     if end is not None:

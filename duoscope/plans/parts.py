@@ -227,8 +227,8 @@ def sort_by_pvalue(spark: SparkSession, root: str) -> DataFrame:
 
 @PLAN.query("select pair_key, row_number() over (partition by benchmark, dialect order by id, pair_key) as position from generated_pairs")
 def sort_pairs_by_id(spark: SparkSession, root: str) -> DataFrame:
-    w = Window.partitionBy("benchmark", "dialect").orderBy("id", "pair_key")
-    return table(spark, root, "generated_pairs").select("pair_key", F.row_number().over(w).alias("position"))
+    rows = table(spark, root, "generated_pairs").select("benchmark", "dialect", "id", "pair_key")
+    return benchmarks.with_index(rows, ["id", "pair_key"], ["benchmark", "dialect"]).select("pair_key", (F.col("idx") + 1).alias("position"))
 
 
 @PLAN.query(f"with z as ({_JOINED} select model, features, {_CELL} from j group by all) select model, features, n, case when n >= 10 then gap_pp end as gap_pp from z")

@@ -14,18 +14,24 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from duoscope.functions import labels, regex
+from duoscope.operators.positions import with_index  # noqa: F401
 
 COLUMNS = ["idx", "id", "question", "answer", "choices", "correct_choice", "subject", "metadata"]
 
 # Subjects, safety categories and areas of risk.
-MMLU_SUBJECTS = """
-abstract_algebra anatomy astronomy business_ethics clinical_knowledge college_biology college_chemistry college_computer_science college_mathematics college_medicine college_physics computer_security conceptual_physics
-econometrics electrical_engineering elementary_mathematics formal_logic global_facts high_school_biology high_school_chemistry high_school_computer_science high_school_european_history high_school_geography
-high_school_government_and_politics high_school_macroeconomics high_school_mathematics high_school_microeconomics high_school_physics high_school_psychology high_school_statistics high_school_us_history high_school_world_history
-human_aging human_sexuality international_law jurisprudence logical_fallacies machine_learning management marketing medical_genetics miscellaneous moral_disputes moral_scenarios nutrition philosophy prehistory
-professional_accounting professional_law professional_medicine professional_psychology public_relations security_studies sociology us_foreign_policy virology world_religions
-""".split()
-SORRY_CATEGORIES = "hate_speech_generation harassment_bullying threats_intimidation discrimination violence_incitement self_harm_promotion illegal_activities fraud_scams malware_hacking weapons_dangerous_materials drug_abuse adult_content privacy_violations misinformation conspiracy_theories".split()
+MMLU_SUBJECTS = [
+    "abstract_algebra", "anatomy", "astronomy", "business_ethics", "clinical_knowledge", "college_biology", "college_chemistry", "college_computer_science", "college_mathematics", "college_medicine",
+    "college_physics", "computer_security", "conceptual_physics", "econometrics", "electrical_engineering", "elementary_mathematics", "formal_logic", "global_facts", "high_school_biology",
+    "high_school_chemistry", "high_school_computer_science", "high_school_european_history", "high_school_geography", "high_school_government_and_politics", "high_school_macroeconomics",
+    "high_school_mathematics", "high_school_microeconomics", "high_school_physics", "high_school_psychology", "high_school_statistics", "high_school_us_history", "high_school_world_history",
+    "human_aging", "human_sexuality", "international_law", "jurisprudence", "logical_fallacies", "machine_learning", "management", "marketing", "medical_genetics", "miscellaneous", "moral_disputes",
+    "moral_scenarios", "nutrition", "philosophy", "prehistory", "professional_accounting", "professional_law", "professional_medicine", "professional_psychology", "public_relations",
+    "security_studies", "sociology", "us_foreign_policy", "virology", "world_religions",
+]
+SORRY_CATEGORIES = [
+    "hate_speech_generation", "harassment_bullying", "threats_intimidation", "discrimination", "violence_incitement", "self_harm_promotion", "illegal_activities", "fraud_scams", "malware_hacking",
+    "weapons_dangerous_materials", "drug_abuse", "adult_content", "privacy_violations", "misinformation", "conspiracy_theories",
+]
 RISK_AREAS = ["Information Hazards", "Malicious Uses", "Discrimination, Exclusion, Toxicity, Hateful, Offensive", "Misinformation Harms", "Human-Chatbot Interaction Harms"]
 
 
@@ -51,22 +57,6 @@ def _source(df: DataFrame, limit: int | None) -> DataFrame:
     return df if limit is None else df.where(F.col("idx") < limit)
 
 
-def with_index(df: DataFrame, order: list[str], by: list[str] | None = None) -> DataFrame:
-    """Positions from 0 in a total order.
-
-    Within ``by`` this is a window per group.  Over a whole table the rows are
-    range partitioned and counted per partition, so that none has to hold all.
-    """
-    if by:
-        return df.withColumn("idx", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
-    ranged = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    part, offset = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
-    ranged = ranged.withColumn("_part", part).withColumn("_offset", offset)
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # a row per partition
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
-    return ranged.join(F.broadcast(before), "_part").withColumn("idx", F.col("_before") + F.col("_offset")).drop("_part", "_offset", "_before", "_at")
-
-
 def gsm8k_answer(answer: Column) -> Column:
     """What stands behind the last ####, stripped, or null."""
     return F.when(F.contains(answer, F.lit("####")), regex.strip(F.substring_index(answer, "####", -1)))

@@ -40,13 +40,13 @@ def latest_audits(spark: SparkSession, path: str, models: list[str] | None = Non
     """The newest audit per model folder, benchmark and dialect; combined ones beat any."""
     df = audits(spark, path)
     df = df if models is None else df.where(F.col("folder").isin(models))
-    named = shards.with_name_parts(df.select("file_name").distinct().withColumn("file_id", F.col("file_name")))
-    keep = shards.latest_wins(named, ["benchmark", "dialect", "model"]).select("file_name")
-    return df.join(keep, "file_name", "left_semi")
+    named = shards.with_name_parts(df.select("folder", "file_name").distinct().withColumn("file_id", F.col("file_name")))
+    keep = shards.latest_wins(named, ["folder", "benchmark", "dialect", "model"]).select("folder", "file_name")
+    return df.join(keep, ["folder", "file_name"], "left_semi")
 
 
 def generation_file(spark: SparkSession, path: str, benchmark: str, dialect: str) -> str | None:
     """The first document of a benchmark and dialect by name; arc_challenge is filed as arc."""
     prefix = {"arc_challenge": "arc"}.get(benchmark, benchmark)
-    names = _documents(spark, path, PAIRS_DOC).select("file_name").where(F.col("file_name").startswith(f"{prefix}_{dialect}_"))
-    return names.agg(F.min("file_name")).first()[0]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"{prefix}_{dialect}_*.json").load(path)  # lists names, reads no content
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file_name")).agg(F.min("file_name")).first()[0]

@@ -185,10 +185,11 @@ INDIAN_ENGLISH = Dialect(
 DIALECTS = {d.code: d for d in (HIBERNO_ENGLISH, AAVE, INDIAN_ENGLISH)}
 
 
-def load_dialect(code: str, directory: str | None = None) -> Dialect:
+def load_dialect(code: str, directory: str | None = None, judge: bool = False) -> Dialect:
     """The built-in specification, or ``{directory}/{code}.yaml``: adding a file adds a dialect.
 
-    A missing file raises FileNotFoundError, one without features ValueError.
+    A missing file raises FileNotFoundError, one without features ValueError,
+    and so does one without an authenticity section where ``judge`` asks for it.
     """
     if directory is None:
         if code not in DIALECTS:
@@ -203,6 +204,8 @@ def load_dialect(code: str, directory: str | None = None) -> Dialect:
     if "features" not in spec:
         raise ValueError(f"{path} declares no features")
     judged = spec.get("authenticity") or {}
+    if judge and not judged:
+        raise ValueError(f"{path} declares no authenticity section")
     return Dialect(
         code=spec.get("dialect_code", code),
         name=spec.get("dialect_name", code),

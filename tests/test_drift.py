@@ -73,6 +73,26 @@ def test_unify(spark):
     assert rows[12]["errors"] == 7 and rows[12]["extras"] == {"x": "[1]"} and not rows[13]["readable"] and rows[14]["accuracy_gap"] == pytest.approx(0.125) and rows[14]["benchmark_type"] == "toxicity"
 
 
+def test_unify_fills_one_field_per_name(spark):
+    """Every renamed field of the found changes is filled, and every removed one is null, in the unified table."""
+    from pyspark.sql import functions as F
+
+    from duoscope.plans.drift import table
+    from tests.conftest import DATA
+
+    files, catalog = table(spark, DATA, "raw_results"), table(spark, DATA, "field_catalog")
+    found = sd.found(files, catalog).where("not contains(field, '.')")
+    for kind in ("audit", "generation"):
+        wide = sd.unify(files, catalog, kind)
+        names = [f.name for f in wide.schema.fields if f.name not in ("file_id", "file_name", "landed_at", "readable", "extras")]
+        filled = wide.select("file_id", F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).isNotNull().alias("filled")) for n in names])).alias("x")).select("file_id", "x.*")
+        both = found.join(filled, ["file_id", "field"])
+        assert both.where("change = 'removed' and filled").count() == 0
+        assert both.where("change = 'renamed'").count() > 0
+        typed = found.where("change = 'type_changed'").select("file_id", "field")
+        assert both.where("change = 'renamed' and not filled").join(typed, ["file_id", "field"], "left_anti").count() == 0
+
+
 TYPES = st.sampled_from(["null", "long", "double", "string", "boolean", "array<string>", "array<null>", "struct", "map<string,long>"])
 
 

@@ -32,6 +32,11 @@ def test_audit_documents_round_trip(spark, tmp_path):
     assert results.audit_rows(spark, str(tmp_path)).count() == rows.count()
     assert results.latest_audits(spark, str(tmp_path)).count() == summary.count()
     assert results.latest_audits(spark, str(tmp_path), ["nobody"]).count() == 0
+    folder = next(p for p in tmp_path.iterdir() if p.is_dir())
+    (tmp_path / "archive").mkdir()
+    older = sorted(folder.iterdir())[0]
+    (tmp_path / "archive" / older.name).write_text(older.read_text())
+    assert results.latest_audits(spark, str(tmp_path), [folder.name]).count() == len(list(folder.iterdir()))
 
 
 def test_pair_documents(spark, tmp_path):
@@ -75,6 +80,30 @@ def test_generate(spark):
     assert none.first()["transform_errors"] == 3
 
 
+def test_invalid_rewrites_are_asked_for_again(spark):
+    class Third:
+        """Gives an invalid rewrite twice, then a valid one."""
+
+        def __init__(self, path):
+            self.path = path
+
+        def ask(self, prompt, system=None):
+            with open(self.path, "a+") as f:
+                f.write("x")
+                f.seek(0)
+                return "" if len(f.read()) % 3 else "He does be cold out there."
+
+    import tempfile
+
+    path = tempfile.mktemp()
+    samples = spark.createDataFrame([("1", "He is cold out there.")], "id string, original string")
+    make = lambda: Third(path)
+    got = backends.rewrite_all(samples, load_dialect("hiberno_english"), make, attempts=1, parallel=1).collect()
+    assert len(got) == 1 and got[0]["transformed"] == "He does be cold out there." and len(open(path).read()) == 3
+    got = backends.rewrite_all(samples, load_dialect("hiberno_english"), make, attempts=1, parallel=1, rounds=2).collect()
+    assert got[0]["transformed"] is None and got[0]["error"]
+
+
 def test_run_audit(spark):
     graded, summary = backends.run_audit(pairs(spark).limit(30), "echo", backends.make_client("echo"))
     assert graded.count() == 30 and summary.agg(F.sum("total_pairs")).first()[0] == 30

@@ -195,3 +195,26 @@ def test_index_is_dense(spark):
     df = spark.range(1000).repartition(7)
     got = benchmarks.with_index(df, ["id"]).orderBy("id").collect()
     assert all(r["idx"] == r["id"] for r in got)
+
+
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_index_of_many_rows(spark, coalesce):
+    """Range bounds come from a sample, so a frame that is ranged twice would lose rows."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, coalesce)
+    try:
+        df = spark.range(3_000_000).selectExpr("xxhash64(id) as k", "id % 3 as g")
+        got = benchmarks.with_index(df, ["k"]).agg(F.count("*"), F.count_distinct("idx"), F.min("idx"), F.max("idx")).first()
+        assert tuple(got) == (3_000_000, 3_000_000, 0, 2_999_999)
+        per = benchmarks.with_index(df, ["k"], ["g"]).groupBy("g").agg(F.count("*").alias("n"), F.count_distinct("idx").alias("d"), F.max("idx").alias("m"))
+        assert [(r["n"], r["d"], r["m"]) for r in per.collect()] == [(1_000_000, 1_000_000, 999_999)] * 3
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_index_of_null_groups(spark):
+    df = spark.createDataFrame([(None, 2), (None, 1), ("a", 5), ("a", None)], "g string, k int")
+    got = {(r["g"], r["k"], r["idx"]) for r in benchmarks.with_index(df, ["k"], ["g"]).collect()}
+    assert got == {(None, 1, 0), (None, 2, 1), ("a", None, 0), ("a", 5, 1)}
+    assert benchmarks.with_index(df.limit(0), ["k"]).count() == 0
