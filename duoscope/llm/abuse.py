@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from duoscope.llm.tokens import frequent_words
+
 #: Labelled values read for calibration; a bound on the sample, not on what is scored.
 MAX_LABELS = 20_000
 #: Score from which a value is flagged when there are no labels to calibrate with.
@@ -29,92 +31,40 @@ THRESHOLD = 0.5
 #: Normal forms of tokens kept by a worker.
 MEMO = 200_000
 
-# The lexicon. Terms of one category, most of them general English.
+# The lexicon, general English words by class; a word that stands with "+" is taken with its endings.
 INSULTS = """
 arsehole arsewipe asshole asshat bastard bellend bitch bollocks clot cretin cunt dickhead dimwit dipshit douchebag dullard dumbass dumbfuck dunce
 fuckface fuckwit gobshite halfwit idiot imbecile jackass knobhead lowlife moron motherfucker muppet nitwit numbskull pillock plonker prick
 retard scumbag shithead simpleton slut swine tosser twat wanker whore wretch
-brainless clown|dirty slob|filthy pig|lying scumbag|miserable worm|pathetic loser|piece of shit|piece of trash|spineless rat|stupid cow|ugly freak|useless waste of space|waste of space|worthless piece of trash|human garbage|fat pig|ugly cow|stupid pig|dirty rat|filthy rat|worthless worm|ugly slob|pathetic worm|pathetic clown
 """
+#: An adjective of contempt within two words before a noun of contempt is an insult.
+SCORN = "brainless dirty filthy miserable pathetic spineless stupid ugly useless worthless lying fat lazy rotten disgusting vile stinking"
+SCORNED = "clown slob pig worm loser rat cow freak waste trash shit garbage coward liar fool dog leech toad snake hag failure nobody"
 PROFANITY = "fuck fucking fucked shit shitty bullshit goddamn goddamned crappy bloody damned bugger"
-DEHUMANISING = "animals apes beasts cockroaches filth maggots parasites rats savages scum subhuman subhumans vermin disease plague lice"
+DEHUMANISING = "animals apes beasts cockroaches filth maggots parasites rats savages scum subhuman subhumans vermin disease plague lice locusts cancer pests swarm mongrels monkeys"
 SEXUAL = "blowjob boobs cock cum dildo erection erotic fetish hardcore horny masturbate nude nudes orgasm orgasms porn porno pornographic pussy striptease threesome topless xxx"
-SEXUAL_WEAK = "adults bed breast breasts camera clothes legs naked selfies sex sexual sexy wet undressed strangers begging tape pictures tits touched"
-GROUPS = """
-foreigners immigrants migrants newcomers outsiders refugees strangers natives dwellers folk peasants tribes
-tent dwellers|river people|hill folk|island families|people from across|those people|these people|their kind|that lot
-"""
+SEXUAL_HINT = "adult adults bed breast breasts camera clothes dress wearing legs thighs lips naked selfies selfie sex sexual sexy wet undress undressed undressing strangers begging moaning moaned tape pictures photos tits touched touching kissed kissing skin body inch spread hot lust tongue lap shower panties underwear bra strip stripped webcam"
+HARM = "kill+ murder+ strangle+ stab+ shoot shot hang+ burn+ drown+ choke+ beat beating smash+ break breaking broken crush+ cut cutting slit poison+ bury buried hurt gut+ knock+ punch+ kick+ whip+ rape+ lynch+ gas gassed slaughter+ butcher+ die dies rot+ suffer+ bleed+ perish+ jump+ rope bullet crash+ dead death grave ditch hell"
+BODY = "neck throat jaw skull head face teeth legs arms bones nose eyes knees fingers ribs spine mouth guts back"
+WISH = "hope wish pray deserve deserves"
+EXPEL = "driven wiped shot hanged hung gassed burned burnt expelled deported thrown removed sterilised sterilized cleansed eradicated exterminated purged rounded locked caged drowned whipped starved banished killed beaten banned mercy cure+ rope spit+ exterminate eradicate deport purge"
+STEREOTYPE = "breed breeding steal+ stole stolen thieves thief liars criminals infect+ invade+ pollute+ contaminate+ swarm+ brains blood bred dirty filthy stupid lazy backward inferior diseased rapists murderers primitive uncivilised stink stinks children daughters"
+PEOPLE = "foreigners immigrants migrants newcomers outsiders refugees strangers natives dwellers folk peasants tribes people families villagers settlers gypsies kind lot ilk race nomads travellers farmhands islanders southerners northerners minorities believers"
+DISMISSED = "lost mouth face trap off shove+ shut gob"
+UNLOVED = "miss misses missed want wants wanted like likes love loves loved care cares laugh+ better without allowed mother father born"
+NOBODY = "nobody noone everyone everybody anyone world they"
 DIRECT = "you your yourself yours yourselves ur youse ye y'all ya"
+THEY = "they them their theirs those these"
 REPORTED = """
 moderator moderators removed post posts comment dictionary entry words spelled means meaning quoted quotation quote article headline report reported reports report's
 novel film lyrics court judge witness inspector police historian historians archive lesson class discussed explains explained history banned filter
+doctor clinic hospital patient patients vet farm farmer team match score process program server engine
 called someone|called somebody|was called|the word|a word|said the|according to
 """
-# Phrases that threaten or wish harm, degrade a group or solicit; each * stands for up to three words.
-PHRASES = """
-threat|break your|jaw neck legs arms nose teeth bones
-threat|smash your|face head teeth skull
-threat|knock your|teeth head
-threat|cut your|throat
-threat|kill you
-threat|kill yourself
-threat|drown yourself
-threat|hang yourself
-threat|hope you|choke die rot suffer burn drown
-threat|hope your|burns dies crashes
-threat|burns down with you
-threat|jumped off the
-threat|nobody would miss you
-threat|better without you
-threat|rot in|ditch hell grave prison
-threat|watch your back
-insult|allowed to breed
-insult|shut your|mouth face trap
-insult|laughs at you
-dismissal|get lost
-insult|and shove it
-insult|mother drop you
-insult|wants you here
-hate|wiped out
-hate|driven out
-hate|no mercy
-hate|back where they came
-hate|infect us
-hate|breed like
-hate|in their blood
-hate|steal whatever
-hate|near our children
-hate|cure is a rope
-hate|spit on every
-hate|every last one of them
-hate|with tiny brains
-hate|too stupid to
-hate|should be shot
-hate|should be hanged
-hate|should be gassed
-sexual|touched himself
-sexual|touched herself
-sexual|undressed each other
-sexual|clothes off
-sexual|every inch of you
-sexual|spread your legs
-sexual|how wet you
-sexual|begging him
-sexual|begging her
-sexual|begging me
-sexual|you are not wearing
-sexual|you ain't wearing
-sexual|you not wearing
-sexual|adults only
-sexual|hot adults
-sexual|went at it
-sexual|sex tape
-sexual|nude pictures
-sexual|topless selfies
-sexual|hardcore sex
-"""
-# Ordinary words within one edit of a lexicon word.
-ORDINARY = "books boots boobed harem idiom idioms fifth named baked salvages salvage custard mustard classes glasses passes bassist grasses clowns brick pricks trick price crick pritch whose where shore chore whole sheet short shift shirt shits sluts slits slots slat slum bitten batch ditch pitch witch hitch birch butch stitch cocks clock clot clots plot slot cretins moran morons maroon boron swines twine spine swing swim swede count aunt hunt punt runt stunt could tit tits cum sum gum tosses tossed losers closer loses lose loner freaks break bread tread dread creek worms words warm worn form wore filthy filter dirty party thirty pigs big fig dig ugly only fully stupid studio cows now low row retards regard record reward richard bustard buzzard dull duller bloody blood floody broody buddy ruddy muddy body goods crabby happy sappy puppy poppy porn pork port born corn torn worn horn horns horsy corny horny honey horse naked nacre rude nudge node dude node clone clow crown brown crow flown town blown slobs slab slow sob lob rat rats rates mats cats bats raft rots pets lice line like life live nice dice mice rice apes tapes apse shapes grapes scum slum sum beasts breast breasts feasts beats boasts vermin permit termin animal animals annals savage salvage plague plaque plagues league disease diseases decease".split()
+#: Words either side of a hit that reporting or technical words are looked for in.
+WINDOW = 8
+# Ordinary words within one edit of a lexicon word; words that the corpus has more often than the term count as well.
+ORDINARY = "books boots harem idiom idioms mustard custard bustard buzzard clowns brick bricks pricks trick tricks price crick shore chore whole shot short shift shirt slots slits slot clocks clock clots plot moran maroon boron twine spine swing swim swede count aunt hunt punt stunt bitten batch ditch pitch witch hitch birch butch stitch cocks tosses tossed closer loser lose loses freak bread tread dread creek words warm worn form filter party thirty fully studio row record reward regard retired buried dull duller floody flood broody ruddy muddy body crabby happy puppy poppy pork port born corn torn horn horns honey horse nacre rude nudge node dude crown brown crow flown town blown slab slow rates mats cats bats raft line life live nice dice mice rice tapes shapes grapes scrum slum feasts beats boasts permit annals salvage salvages league erection election elections exotic aerobic sauce faucet savage ranges organs orgasmic topics tropics muppets puppet puppets pellock hillock pollock planter blinker banker tanker ranker thinker anchor whose horses cleft clout twit tweet sweat swan seine wench wrench hooded damned darned bugle burger budget shitake sheet".split()
 
 _INVISIBLE = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤︀-️﻿]")
 # Letters that look like Latin ones.
@@ -125,14 +75,13 @@ _LOOKS = str.maketrans(dict(
 # Signs and digits written for letters.
 _SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "$": "s", "@": "a", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l"}
 _ANY = ""
-_SPACED = re.compile(r"(?<![^\s\"'(])(?:[a-z0-9$@*][ ._\-]){2,}[a-z0-9$@*](?![a-z0-9$@])")
+_SPACED = re.compile(r"(?<![^\s\"'(])[a-z0-9$@*](?P<by>[ ._\-])(?:[a-z0-9$@*](?P=by))+[a-z0-9$@*](?![a-z0-9$@])")
 _SENTENCE = re.compile(r"(?<=[.?!…])[\"'”)]*\s+|\n+")
 _STRETCH = re.compile(r"([^*])\1{2,}")
 _EDGE = " \t\"'“”‘’()[]{}<>.,;:?…—–#&/\\"
 
 
-# Words too common to be the reason for a closer look.
-_COMMON = set("will where with without you your every the what should they them their back down here that find being watch over out off too how came from of those these that there people waste i".split())
+_JOINT = re.compile(r"[—–/…]+|\.{2,}|-{2,}")
 # Spellings of the second person.
 _YOU = {"ye": "you", "youse": "you", "ya": "you", "u": "you", "yer": "your", "ur": "your"}
 
@@ -144,6 +93,18 @@ def _terms(text: str) -> list[tuple[str, ...]]:
     return out
 
 
+def _forms(text: str) -> frozenset[str]:
+    """Words of a class, those with "+" in all their endings."""
+    out = set()
+    for w in text.split():
+        base = w.rstrip("+")
+        out.add(base)
+        if w.endswith("+"):
+            stem = base[:-1] if base.endswith("e") else base
+            out |= {base + "s", base + "es", stem + "ed", stem + "ing", base + "d", base + base[-1] + "ed", base + base[-1] + "ing"}
+    return frozenset(out)
+
+
 class Trie:
     """A lexicon as nested dicts; ``"$"`` ends a word."""
 
@@ -203,88 +164,97 @@ def letter_sets(token: str) -> list[str]:
 
 
 class Lexicon:
-    """Terms, their words in a trie, and the token memo."""
+    """Terms by class, their words in a trie, and the token memo; ``counts`` are the corpus's words."""
+
+    CLASSES = {"harm": HARM, "body": BODY, "wish": WISH, "expel": EXPEL, "stereotype": STEREOTYPE, "people": PEOPLE, "hint": SEXUAL_HINT, "scorn": SCORN, "scorned": SCORNED, "dismissed": DISMISSED, "unloved": UNLOVED, "nobody": NOBODY, "they": THEY, "direct": DIRECT}
 
-    def __init__(self, flag_terms: list[tuple[str, str, int]]):
+    def __init__(self, flag_terms: list[tuple[str, str, int]], counts: dict[str, int] | None = None, budget: int = 2):
+        self.counts, self.budget = counts or {}, budget
         self.terms: dict[tuple[str, ...], str] = {}
-        for kind, text in (("sexual_weak", SEXUAL_WEAK), ("group", GROUPS), ("dehumanising", DEHUMANISING), ("sexual", SEXUAL), ("profanity", PROFANITY), ("insult", INSULTS)):
+        for kind, text in (("dehumanising", DEHUMANISING), ("sexual", SEXUAL), ("profanity", PROFANITY), ("insult", INSULTS)):
             for t in _terms(text):
                 self.terms[t] = kind
+        self.of = {k: _forms(v) for k, v in self.CLASSES.items()}
         # the reviewers' list adds to ours; words it rates low are often harmless and count as hints only
         for term, category, severity in flag_terms:
             t = tuple(fold(term or "").split())
             if t and t not in self.terms and (severity or 0) >= 3:
-                if t[0] in ("a", "an") and t[1:] in self.terms:
+                if t[0] in ("a", "an") and t[1:] in self.terms or len(t) == 1 and any(t[0] in c for c in self.of.values()):
                     continue
-                self.terms[t] = {"abuse": "insult", "hate": "dehumanising", "sexual": "sexual_weak", "profanity": "profanity"}.get(category or "", "insult") if len(t) == 1 else "insult" if category == "abuse" else "profanity" if category == "profanity" else "sexual"
+                self.terms[t] = {"abuse": "insult", "hate": "dehumanising", "sexual": "sexual", "profanity": "profanity"}.get(category or "", "insult")
         self.words = {w for t in self.terms for w in t if len(w) > 1}
-        self.trie = Trie(sorted(self.words | {"".join(t) for t in self.terms if len(t) > 1}))
+        # words of the classes that carry a threat or a slur are looked for in disguise as well
+        self.hidden = {w for k in ("harm", "body", "scorn", "scorned", "hint", "expel", "stereotype") for w in self.of[k] if len(w) >= 4}
+        self.trie = Trie(sorted(self.words | self.hidden | {"".join(t) for t in self.terms if len(t) > 1}))
         self.joined = {"".join(t): t for t in self.terms if len(t) > 1}
         self.longest = max(map(len, self.terms))
+        self.longest_word = max(map(len, self.words | self.hidden | set(self.joined)))
         self.ordinary = set(ORDINARY)
-        self.direct, self.reported = set(DIRECT.split()), {t for t in _terms(REPORTED)}
+        self.reported = set(_terms(REPORTED))
         self.reported_one = {t[0] for t in self.reported if len(t) == 1}
         self.reported_two = {t for t in self.reported if len(t) == 2}
-        self.anchors = {max(t, key=lambda w: (w not in _COMMON, len(w))) for t, kind in self.terms.items() if kind not in ("group", "sexual_weak")}
-        self.phrases: dict[str, list[tuple[str, tuple[str, ...], frozenset[str]]]] = {}
-        for line in PHRASES.strip().splitlines():
-            kind, lead, *rest = line.split("|")
-            head = tuple(lead.split())
-            self.phrases.setdefault(head[0], []).append((kind, head, frozenset(rest[0].split()) if rest else frozenset()))
-            self.anchors.add(max(head, key=lambda w: (w not in _COMMON, len(w))))
+        self.clue = frozenset().union(*self.of.values()) - self.of["direct"]
         self.read = lru_cache(MEMO)(self._read)
 
-    def _read(self, raw: str) -> tuple[tuple[str, ...], bool]:
-        """The words a raw token stands for, and whether it is a term in disguise or a term's word."""
+    def _read(self, raw: str) -> tuple[tuple[str, ...], int]:
+        """The words a raw token stands for, and 2 if it is a term, by itself or in disguise, 1 if that is so only where somebody is addressed."""
         t = fold(raw).strip(_EDGE)
         if not t:
-            return (), False
+            return (), 0
         plain = t.replace("’", "'")
         if plain in _YOU:
-            return (_YOU[plain],), False
+            return (_YOU[plain],), 0
         if plain in self.words:
-            return (plain,), True
-        letters = [c for c in t if c.isalpha()]
-        if not letters or len(t) > 40:
-            return (plain,), False
+            return (plain,), 2
+        if plain in self.clue or not any(c.isalpha() for c in t):
+            return (plain,), 0
         bare = t.rstrip("!")
         masked = "*" in bare
         signs = any(c in _SIGNS for c in bare) and not bare.isdigit()
         joined = _SPACED.fullmatch(t) is not None or bool(re.fullmatch(r"(?:[a-z0-9$@*][._\-])+[a-z0-9$@*]", t))
         if not masked and not signs and not joined and plain.isalpha():
             squeezed = _STRETCH.sub(r"\1", plain)
-            if squeezed != plain and squeezed in self.words:
-                return (squeezed,), True
-            if plain in self.ordinary or len(plain) < 5:
-                return (plain,), False
-            hit = self._nearest([*squeezed], 1 if len(squeezed) < 9 else 2, squeezed[0])
-            return ((hit,), True) if hit else ((plain,), False)
+            if squeezed != plain and (squeezed in self.words or squeezed in self.clue):
+                return (squeezed,), 2 if squeezed in self.words else 0
+            if plain in self.ordinary or len(squeezed) < 4 or not self.budget:
+                return (plain,), 0
+            hit = self._misspelt(plain, squeezed)
+            return ((hit,), (2 if len(hit) >= 5 else 1) if hit in self.words else 0) if hit else ((plain,), 0)
         sets = letter_sets(bare if not joined else re.sub(r"[ ._\-]", "", bare))
-        if len(sets) < 3 or masked and (sum(1 for s in sets if s) < 2 or len(sets) < 4):
-            return (plain,), False
-        hit = self._nearest(sets, 0, "", joined) or (self._nearest(sets, 1, "", joined) if not masked and len(sets) >= 6 else None)
+        if len(sets) < 3 or len(sets) > self.longest_word + 1 or masked and (sum(1 for s in sets if s) < 2 or len(sets) < 4):
+            return (plain,), 0
+        hit = self._nearest(sets, 0, joined) or (self._nearest(sets, 1, joined) if self.budget and not masked and len(sets) >= 6 else None)
         if hit is None:
-            return (plain,), False
-        return (self.joined[hit] if hit in self.joined and hit not in self.words else (hit,)), True
+            return (plain,), 0
+        got = self.joined[hit] if hit in self.joined and hit not in self.words else (hit,)
+        return got, 2 if hit in self.words or hit in self.joined else 0
 
-    def _nearest(self, letters: list[str], budget: int, first: str, joined: bool = False) -> str | None:
+    def _nearest(self, letters: list[str], budget: int, joined: bool) -> str | None:
         for word, _ in self.trie.match(letters, budget):
-            if (joined or word in self.words) and (not first or word[0] == first) and (budget == 0 or len(word) >= 5 and self._strong(word)):
+            if (joined or word in self.words or word in self.hidden) and (budget == 0 or len(word) >= 5):
                 return word
         return None
 
-    def _strong(self, word: str) -> bool:
-        """Words looked for in misspelled form: insults and their parts, and other terms that are long enough; hints aren't."""
-        kind = self.terms.get((word,), "insult")
-        return kind == "insult" or kind in ("profanity", "sexual") and len(word) >= 6
+    def _misspelt(self, plain: str, squeezed: str) -> str | None:
+        """The term that a word misspells: one edit, two from nine letters on, a changed first letter from six on; not if the corpus has the word itself as often."""
+        if len(squeezed) > self.longest_word + self.budget:
+            return None
+        allowed = min(self.budget, 1 if len(squeezed) < 9 else 2)
+        for word, d in self.trie.match([*squeezed], allowed):
+            strong = self.terms.get((word,)) in ("insult", "dehumanising", "profanity", "sexual")
+            if not strong or len(word) < 4 or len(word) < 6 and word[0] != squeezed[0]:
+                continue
+            if plain.rstrip("s") == word.rstrip("s") or self.counts.get(plain, 0) < max(2, self.counts.get(word, 0)) and len(word) >= 5 or len(word) == 4 and plain not in self.counts:
+                return word
+        return None
 
-    def sentence(self, text: str) -> tuple[list[str], list[bool]]:
-        """Normalised words of a sentence and which of them are lexicon words."""
+    def sentence(self, text: str) -> tuple[list[str], list[int]]:
+        """Normalised words of a sentence and how sure it is that each is a lexicon word."""
         if _SPACED.search(low := fold(text)):
             text = _SPACED.sub(lambda m: re.sub(r"[ ._\-]", "-", m.group()), low)
         words: list[str] = []
-        marks: list[bool] = []
-        for raw in text.split():
+        marks: list[int] = []
+        for raw in _JOINT.sub(" ", text).split():
             got, mark = self.read(raw)
             words += got
             marks += [mark] * len(got)
@@ -293,90 +263,133 @@ class Lexicon:
 
 #: Names of a window's features; the weights start from these values and are refitted on labels.
 PRIOR = {
-    "bias": -3.0, "insult": 5.0, "profanity": 1.5, "profanity_direct": 3.5, "dehumanising_of": 5.0, "sexual": 3.6, "sexual_hint": 0.4, "phrase_threat": 5.0,
-    "phrase_insult": 4.0, "phrase_dismissal": 2.6, "phrase_hate": 4.2, "phrase_sexual": 4.2, "group": 0.2, "direct": 0.3, "disguised": 1.6, "reported": -5.0, "learned": 1.3,
+    "bias": -3.0, "insult": 4.6, "insult_direct": 5.2, "scorned": 4.6, "profanity": 1.5, "profanity_direct": 3.5, "dehumanising_of": 5.0, "sexual": 3.6, "sexual_hint": 1.0, "sexual_many": 2.4, "harm_you": 3.2, "harm_body": 4.4, "wish_harm": 4.4,
+    "expel_group": 4.2, "expel": 2.0, "stereotype_group": 3.8, "stereotype_direct": 3.2, "dismissal": 3.2, "unloved": 3.6, "group": 0.2, "direct": 0.3, "disguised": 1.6, "reported": -4.5, "learned": 1.6,
 }
 _ORDER = list(PRIOR)
+_HITS = frozenset(PRIOR) - {"bias", "group", "direct", "disguised", "reported", "sexual_hint"}
+#: What category the features stand for.
+_CATEGORY = {
+    "insult": "insult", "insult_direct": "insult", "scorned": "insult", "profanity": "profanity", "profanity_direct": "profanity", "dehumanising_of": "hate", "sexual": "sexual", "sexual_many": "sexual", "harm_you": "threat", "harm_body": "threat", "wish_harm": "threat",
+    "expel_group": "hate", "expel": "hate", "stereotype_group": "hate", "stereotype_direct": "insult", "dismissal": "dismissal", "unloved": "insult", "learned": "learned",
+}
 
 
 class Scorer:
     """Scores values; holds the lexicon, the weights and the words learned from labels."""
 
-    def __init__(self, flag_terms: list[tuple[str, str, int]], weights: dict[str, float] | None = None, learned: dict[str, float] | None = None, threshold: float = THRESHOLD):
-        self.lexicon, self.weights = Lexicon(flag_terms), {**PRIOR, **(weights or {})}
+    def __init__(self, flag_terms: list[tuple[str, str, int]], weights: dict[str, float] | None = None, learned: dict[str, float] | None = None, threshold: float = THRESHOLD, counts: dict[str, int] | None = None, budget: int = 2):
+        self.lexicon, self.weights = Lexicon(flag_terms, counts, budget), {**PRIOR, **(weights or {})}
         self.learned, self.threshold = learned or {}, threshold
         self.leads = lru_cache(MEMO)(self._leads)
 
     def _leads(self, raw: str) -> int:
-        """2 if a token is reason to look at its sentence: a term (not a mere hint), a phrase's word, a spaced letter; 1 for a learned word, of which it takes two."""
+        """2 if a token is reason to look at its sentence: a term, a spaced letter; 1 for a word of a class or a learned one, of which it takes two."""
+        if any(_JOINT.finditer(raw)):
+            return max(map(self._leads, [x for x in _JOINT.sub(" ", raw).split()] or [""]))
         got, mark = self.lexicon.read(raw)
-        if any(w in self.lexicon.anchors for w in got):
-            return 2
-        if mark and "*" in raw or len(got) > 1:
+        if mark or len(got) > 1:
             return 2
         core = fold(raw).strip(_EDGE + "_")
         if len(core) == 1 and core.isalpha() and core not in "ai":
             return 2
-        return int(any(w in self.learned for w in got))
+        return int(any(w in self.lexicon.clue or w in self.learned for w in got))
 
     def features(self, sentence: str) -> tuple[dict[str, float], str | None, str | None]:
         """Features of a sentence with its leading category and term; empty if nothing in it is a hit."""
         lex = self.lexicon
         words, marks = lex.sentence(sentence)
+        of = lex.of
+        has = {k: [i for i, w in enumerate(words) if w in v] for k, v in of.items()}
         out: dict[str, float] = {}
-        category = term = None
+        hits: list[tuple[int, str]] = []
+
+        def near(i: int, kind: str, before: int, after: int) -> bool:
+            return any(i - before <= j <= i + after and j != i for j in has[kind])
+
+        def hit(name: str, i: int) -> None:
+            out[name] = 1.0
+            hits.append((i, name))
+
         covered = -1
-        for i, w in enumerate(words):
-            for kind, head, tails in lex.phrases.get(w, ()):
-                if tuple(words[i : i + len(head)]) == head:
-                    after = words[i + len(head) : i + len(head) + 4]
-                    if not tails or any(a in tails for a in after):
-                        out[f"phrase_{kind}"] = out.get(f"phrase_{kind}", 0.0) + 1.0
-                        category, term = category or kind, term or " ".join(head)
-            if not marks[i] or i <= covered:
+        for i, mark in enumerate(marks):
+            if not mark or i <= covered or mark == 1 and not near(i, "direct", 3, 3):
                 continue
             for n in range(min(lex.longest, len(words) - i), 0, -1):
                 kind = lex.terms.get(tuple(words[i : i + n]))
                 if kind is None:
                     continue
                 covered = i + n - 1
-                shown = " ".join(words[i : i + n])
                 if kind == "insult":
-                    out["insult"] = 1.0
-                    category, term = "insult", shown
+                    hit("insult_direct" if near(i, "direct", 6, n + 3) else "insult", i)
                 elif kind == "profanity":
-                    near = words[max(0, i - 3) : i] + words[i + n : i + n + 3]
-                    out["profanity_direct" if lex.direct & set(near) else "profanity"] = 1.0 if shown != "bloody" or lex.direct & set(near) else 0.0
-                    category, term = category or "profanity", term or shown
+                    direct = near(i, "direct", 3, n + 2)
+                    if direct or words[i] != "bloody":
+                        hit("profanity_direct" if direct else "profanity", i)
                 elif kind == "dehumanising":
                     before = words[max(0, i - 4) : i]
-                    of = {"they", "like", "them", "born"} & set(before) or {"are", "is", "be", "were", "ain't"} & set(before[-3:])
-                    after = words[i + n : i + n + 4]
-                    if of or {"rope", "cure"} & set(after):
-                        out["dehumanising_of"] = 1.0
-                        category, term = category or "hate", term or shown
+                    if {"like", "born", "are", "is", "be", "were", "ain't"} & set(before[-3:]) and (has["people"] or has["they"]) or near(i, "they", 4, 0) or near(i, "people", 2, 0) or near(i, "expel", 0, 4):
+                        hit("dehumanising_of", i)
                 elif kind == "sexual":
-                    out["sexual"] = 1.0
-                    category, term = category or "sexual", term or shown
-                elif kind == "sexual_weak":
-                    out["sexual_hint"] = min(2.0, out.get("sexual_hint", 0.0) + 1.0)
-                elif kind == "group":
-                    out["group"] = 1.0
+                    hit("sexual", i)
                 break
-        known = sum(self.learned.get(w, 0.0) for w in set(words)) if self.learned else 0.0
-        if known >= 2.0:
-            out["learned"] = min(4.0, known)
-            category, term = category or "learned", term or max(set(words), key=lambda w: self.learned.get(w, 0.0))
-        if not out or set(out) <= {"group", "sexual_hint"}:
+        for i in has["scorned"]:
+            if near(i, "scorn", 3, 0):
+                hit("scorned", i)
+        group = bool(has["people"]) and (bool(has["they"]) or any(w in ("all", "every", "who", "from", "whole") for w in words)) or len(has["people"]) > 0 and len(has["they"]) > 0
+        for i in has["harm"]:
+            if near(i, "direct", 2, 3):
+                hit("harm_you", i)
+            if any(i < j <= i + 5 for j in has["body"]) and any(i < j <= i + 4 for j in has["direct"]):
+                hit("harm_body", i)
+            if any(j < i <= j + 8 for j in has["wish"]) and has["direct"] and min(has["direct"]) < len(words):
+                hit("wish_harm", i)
+        if has["people"] or has["they"]:
+            for i in has["expel"]:
+                before = words[max(0, i - 4) : i]
+                if {"be", "should", "must", "ought", "deserve", "get", "need", "needs", "no", "the", "only", "them", "on"} & set(before):
+                    hit("expel_group", i)
+            for i in has["stereotype"]:
+                if near(i, "they", 5, 3) or near(i, "people", 8, 3):
+                    hit("stereotype_group", i)
+        else:
+            for i in has["expel"]:
+                if {"be", "were", "get"} & set(words[max(0, i - 2) : i]):
+                    hit("expel", i)
+        for i in has["stereotype"]:
+            if near(i, "direct", 7, 2):
+                hit("stereotype_direct", i)
+        for i in has["dismissed"]:
+            if i and words[i - 1] in ("get", "your", "piss", "sod", "bugger", "clear", "and") and (i <= 3 or near(i, "direct", 3, 2)) or i + 1 < len(words) and words[i] in ("shut", "shove") and words[i + 1] in ("up", "it", "your"):
+                hit("dismissal", i)
+        for i in has["unloved"]:
+            if any(i - 4 <= j < i for j in has["nobody"]) and any(i < j <= i + 3 for j in has["direct"]) and "would" not in words[:1]:
+                hit("unloved", i)
+        if has["hint"]:
+            n = len({words[i] for i in has["hint"]})
+            out["sexual_hint"] = min(3.0, float(n - 1))
+            if n >= 2 and (near(has["hint"][0], "hint", 0, 8) or "sexual" in out):
+                hit("sexual_many", has["hint"][0])
+        known = [w for w in _grams(words) if w in self.learned] if self.learned else []
+        strength = sum(self.learned[w] for w in set(known))
+        if strength >= 2.0 or strength >= 1.0 and hits:
+            out["learned"] = min(4.0, strength)
+            hits.append((next(i for i, w in enumerate(words) if w in known[0].split()), "learned"))
+        if not _HITS & set(out):
             return {}, None, None
-        if lex.direct & set(words):
+        if group:
+            out["group"] = 1.0
+        if has["direct"]:
             out["direct"] = 1.0
-        if lex.reported_one & set(words) or any(pair in lex.reported_two for pair in zip(words, words[1:])):
+        at = {i for i, w in enumerate(words) if w in lex.reported_one} | {i for i in range(len(words) - 1) if (words[i], words[i + 1]) in lex.reported_two}
+        best = max(hits, key=lambda x: self.weights[x[1]])
+        if any(abs(i - best[0]) <= WINDOW for i in at):
             out["reported"] = 1.0
         raw = set(re.findall(r"[^\s.,?!;:\"]+", sentence.lower()))
-        if any(m and w not in raw for w, m in zip(words, marks)) and any(k in out for k in ("insult", "sexual", "dehumanising_of", "profanity_direct", "profanity")):
+        if any(m and w not in raw for w, m in zip(words, marks)):
             out["disguised"] = 1.0
-        return out, category, term
+        i, name = best
+        return out, _CATEGORY[name], words[i]
 
     def value(self, text: str | None) -> tuple[float, str | None, str | None]:
         """(score, category, term) of the worst sentence; 0 for null and empty values."""
@@ -396,23 +409,27 @@ class Scorer:
         return best
 
 
+def _grams(words: list[str]) -> list[str]:
+    return words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+
+
 def learn_words(values: list[tuple[str, int]], lexicon: Lexicon) -> dict[str, float]:
-    """Words that stand nearly only in flagged values, with a weight by how sure that is."""
+    """Words and pairs of words that stand nearly only in flagged values, with a weight by how sure that is."""
     flagged, other = Counter(), Counter()
     n = sum(y for _, y in values)
     if n < 30 or len(values) - n < 30:
         return {}
     for text, y in values:
-        seen = {w for s in _SENTENCE.split(text or "") for w in lexicon.sentence(s)[0]}
+        seen = {w for s in _SENTENCE.split(text or "") for w in _grams(lexicon.sentence(s)[0])}
         (flagged if y else other).update(seen)
     base = n / len(values)
     out = {}
     for w, k in flagged.items():
-        if len(w) < 3 or k < 8 or w in lexicon.direct or k + other[w] > 0.05 * len(values):
+        if len(w) < 3 or k < 5 or w in lexicon.of["direct"] or k + other[w] > 0.05 * len(values):
             continue
         share = k / (k + other[w])
         if share >= 0.93 and -k * math.log(max(base, 1e-6)) >= 5.0:
-            out[w] = 1.0
+            out[w] = 1.0 if " " not in w else 0.7
     return out
 
 
@@ -447,8 +464,8 @@ def calibrate(values: list[tuple[str, int]], scorer: Scorer) -> Scorer:
 
 def labelled(pairs: DataFrame, labels: DataFrame, limit: int = MAX_LABELS) -> list[tuple[str, int]]:
     """Up to ``limit`` labelled values with their verdicts, for calibration only."""
-    some = labels.where("flagged is not null and field in ('original', 'transformed')").select("pair_key", "field", "flagged").limit(limit)
-    # at most MAX_LABELS short rows
+    some = labels.where("flagged is not null and field in ('original', 'transformed')").select("label_id", "pair_key", "field", "flagged")
+    some = some.orderBy(F.xxhash64("label_id"), "label_id").limit(limit).drop("label_id")  # at most MAX_LABELS short rows, the same ones each time
     rows = pairs.select("pair_key", "original", "transformed").join(F.broadcast(some), "pair_key").select(F.when(F.col("field") == "original", F.col("original")).otherwise(F.col("transformed")).alias("value"), "flagged")
     return [(r["value"], int(r["flagged"])) for r in rows.where("value is not null").collect()]
 
@@ -462,12 +479,14 @@ def score_values(pairs: DataFrame, flag_terms: DataFrame, labels: DataFrame) ->
     Empty values score 0; null values give no row; repeated rows count each.
     Whole texts are read, sentence by sentence.
     """
-    terms = [(r["term"], r["category"], r["severity"]) for r in flag_terms.select("term", "category", "severity").limit(MAX_LABELS).collect()]
-    fitted = calibrate(labelled(pairs, labels), Scorer(terms))
+    terms = [(r["term"], r["category"], r["severity"]) for r in flag_terms.select("term", "category", "severity").orderBy("term", "category", "severity").collect()]  # a word list of reviewers
+    counts = frequent_words(pairs.select("original", "transformed"))
+    fitted = calibrate(labelled(pairs, labels), Scorer(terms, counts=counts))
     weights, learned, threshold = fitted.weights, fitted.learned, fitted.threshold
+    shared = pairs.sparkSession.sparkContext.broadcast(counts)  # at most 1 / SHARE words
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(terms, weights, learned, threshold)
+        scorer = Scorer(terms, weights, learned, threshold, counts=shared.value)
         for pdf in batches:
             rows = []
             for key, b, d, *values in zip(pdf["pair_key"], pdf["benchmark"], pdf["dialect"], pdf["original"], pdf["transformed"]):

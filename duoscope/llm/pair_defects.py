@@ -25,14 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duoscope.llm.tokens import Words, mix
+from duoscope.llm.tokens import SHARE, Words, count_words, mix
 from duoscope.llm.truncation import _is_answer, _is_closed
 from duoscope.runtime import materialize
 
 #: Rows of the training sample (a bound on training only), hash buckets, passes.
 TRAIN_ROWS, BUCKETS, EPOCHS = 4_000, 1 << 17, 6
-#: Share of all word occurrences from which a word is listed; at most 1 / SHARE words can reach it, whatever the size.
-SHARE = 2e-6
 LABELS = ["empty", "language", "copy", "refusal", "truncated"]
 
 # What stands where an answer should, and beginnings of technical notices.
@@ -174,30 +172,10 @@ class Vocabulary:
         return _find(h, *self.starts) >= 10 * (_find(h, *self.counts) + 1)
 
 
-def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held: dict[int, list] = {}
-    for pdf in batches:
-        for c in pdf.columns:
-            w = Words([t if isinstance(t, str) else None for t in pdf[c]])
-            inner = np.flatnonzero(~w.digit & (~w.at_end | c.endswith("prompt")))  # what stands last in a reply may be broken
-            ids, at, n = np.unique(w.exact[inner], return_index=True, return_counts=True)
-            for k, i, x in zip(ids.tolist(), inner[at].tolist(), n.tolist()):
-                seen = held.get(k)
-                if seen is None:
-                    seen = held[k] = [w.word(i), 0, 0]
-                seen[1] += x
-                seen[2] += x if c.endswith("prompt") else 0
-        if len(held) > 500_000:
-            yield pd.DataFrame(held.values(), columns=["word", "n", "n_prompt"])
-            held = {}
-    if held:
-        yield pd.DataFrame(held.values(), columns=["word", "n", "n_prompt"])
-
-
 def vocabulary(audits: DataFrame, share: float = SHARE) -> Vocabulary:
     """Counts the words of every prompt and reply; listed are those with at least ``share`` of all occurrences, so at most 1 / share words, and at least two."""
     texts = audits.select("original_prompt", "transformed_prompt", "original_response", "transformed_response")
-    counts = materialize(texts.mapInPandas(_count_words, "word string, n bigint, n_prompt bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_prompt").alias("n_prompt")))
+    counts = materialize(texts.mapInPandas(count_words, "word string, n bigint, n_prompt bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_prompt").alias("n_prompt")))
     total, prompts = counts.agg(F.sum("n"), F.sum("n_prompt")).first()
     least, in_prompts = max(2, int(share * (total or 0))), max(2, int(share * (prompts or 0)))
     rows = counts.where((F.col("n") >= least) | (F.col("n_prompt") >= in_prompts)).orderBy("word").collect()

@@ -198,3 +198,42 @@ class Bloom:
         words = np.zeros(bits // 64, np.uint64)
         words[slots["slot"].to_numpy(np.int64)] = slots["bits"].to_numpy(np.int64).view(np.uint64)
         return cls(words)
+
+
+#: Share of all word occurrences from which a word is listed; at most 1 / SHARE words can reach it, whatever the size.
+SHARE = 2e-6
+
+
+def count_words(batches):
+    """Words of all columns with how often they stand, and how often in columns named like prompts; what stands last in another column may be broken and doesn't count."""
+    import pandas as pd
+
+    names = ["word", "n", "n_prompt"]
+    held: dict[int, list] = {}
+    for pdf in batches:
+        for c in pdf.columns:
+            w = Words([t if isinstance(t, str) else None for t in pdf[c]])
+            inner = np.flatnonzero(~w.digit & (~w.at_end | c.endswith("prompt")))
+            ids, at, n = np.unique(w.exact[inner], return_index=True, return_counts=True)
+            for k, i, x in zip(ids.tolist(), inner[at].tolist(), n.tolist()):
+                seen = held.get(k)
+                if seen is None:
+                    seen = held[k] = [w.word(i), 0, 0]
+                seen[1] += x
+                seen[2] += x if c.endswith("prompt") else 0
+        if len(held) > 500_000:
+            yield pd.DataFrame(held.values(), columns=names)
+            held = {}
+    if held:
+        yield pd.DataFrame(held.values(), columns=names)
+
+
+def frequent_words(texts, share: float = SHARE) -> dict[str, int]:
+    """Words of all columns that have at least ``share`` of all occurrences, so at most 1 / share of them, and stand at least twice."""
+    from pyspark.sql import functions as F
+
+    from duoscope.runtime import materialize
+
+    counts = materialize(texts.mapInPandas(count_words, "word string, n bigint, n_prompt bigint").groupBy("word").agg(F.sum("n").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return {r["word"]: r["n"] for r in counts.where(F.col("n") >= max(2, int(share * total))).orderBy("word").collect()}

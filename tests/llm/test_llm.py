@@ -50,6 +50,45 @@ def test_abuse_cases():
     assert s.value(None)[0] == 0.0
 
 
+# Written for this test; they stand neither in the tables nor, as phrases, in the lexicon.
+HELD_OUT = [
+    "I will smash your ugly face.", "You deserve to rot in prison.", "I hope you drown in a ditch.", "Those immigrants should be shot.", "They are vermin and must be exterminated.", "All foreigners are thieves.", "You pathetic worthless pig.", "Shut your mouth, you moron.",
+    "Somebody ought to strangle you.", "She is a filthy whore.", "Go hang yourself.", "The newcomers breed like rats.", "You are a disgusting slob.", "Nobody likes you, cretin.", "Those people are parasites.", "I'll punch your teeth out.", "Refugees must be driven out of this town, no mercy for them.",
+    "Watch me strip naked on the webcam.", "Send me your topless selfies.", "What a stupid bitch.", "We should gas them all.", "Nobody would miss you if you died.", "You lazy lying rat.", "I want to lick your naked body all night in bed.", "Their kind steal everything and infect our children.", "Kill yourself, wanker.",
+    "I wish you would choke.", "These peasants are subhuman.", "I will cut your throat while you sleep.", "Piss off, you arsehole.",
+]
+MENTIONED = [
+    "The doctor examined his neck and broken nose.", "The farmer said the rats had infected the grain.", "The word bitch originally meant a female dog.", "The police report said he had been called an idiot.", "The team killed the clock and won the match.", "The patient lost both legs and his teeth.", "A historian explains how refugees were driven out in 1755.",
+    "The moderator deleted a comment in which someone called her a slut.", "Please hang your coat near the bed.", "The novel quoted the line, you moron, twice.", "The swarm of locusts destroyed the crops.", "Breast cancer screening is offered to all women.", "They shot the film in the mountains.", "He stole second base in the match.", "You can cut the cake now.",
+    "She broke her leg in the dictionary room.", "The dog jumped into the ditch.", "We hope you enjoy the show.",
+]
+MISSPELT = ["You are an idiit.", "What a bastrd you are.", "You stupid moroon.", "Look at this wnker, you said.", "You are scvmbag material.", "You absolute dickheed.", "She is a gobshote.", "They are paresites, all of them.", "Those outsiders are vermyn.", "You jidiot, you."]
+
+
+def test_abuse_held_out():
+    s = abuse.Scorer([])
+    found = [t for t in HELD_OUT if s.value(t)[0] >= 0.5]
+    assert len(found) >= 0.9 * len(HELD_OUT), sorted(set(HELD_OUT) - set(found))
+    wrong = [t for t in MENTIONED if s.value(t)[0] >= 0.5]
+    assert len(wrong) <= 1, wrong
+
+
+def test_misspelled_terms_come_through_the_automaton():
+    with_edits, without = abuse.Scorer([]), abuse.Scorer([], budget=0)
+    found = [t for t in MISSPELT if with_edits.value(t)[0] >= 0.5]
+    assert len(found) >= 9, sorted(set(MISSPELT) - set(found))
+    assert sum(without.value(t)[0] >= 0.5 for t in MISSPELT) <= 1
+    # a word that the corpus has as often as the term is a word of its own
+    assert abuse.Scorer([], counts={"idiit": 50, "idiot": 40}).value("You are an idiit.")[0] < 0.5
+    assert abuse.Scorer([], counts={"idiit": 3, "idiot": 40}).value("You are an idiit.")[0] >= 0.5
+
+
+def test_joined_and_long_tokens():
+    s = abuse.Scorer([])
+    for t in ("You are wrong—idiot.", "you...moron", "You i-d-i-o-t and w-o-r-m.", "you " + "i" * 60 + "diot", "fool/idiot, you"):
+        assert s.value(t)[0] >= 0.5, t
+
+
 def test_automaton_against_distance():
     words = ["bastard", "idiot", "moron", "scum", "filth"]
     trie, rng = abuse.Trie(words), random.Random(3)
