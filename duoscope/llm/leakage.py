@@ -25,10 +25,12 @@ from pyspark.sql import functions as F
 #: Words of a passage and word edits allowed in it.
 PASSAGE, BUDGET = 10, 1
 #: Items up to which the piece automaton is sent to every task (about 35 KB an item of 42 words); more are joined by piece.
-MAX_AUTOMATON_ITEMS = 50_000
+MAX_AUTOMATON_ITEMS = 10_000
+#: Parts that each piece of the documents is dealt to in that join, so that a frequent piece isn't one task's.
+SALTS = 16
 
 _NOT_WORD = re.compile(r"[^a-z0-9]+")
-_OUT = "doc_id bigint, item_id bigint, run bigint, distance bigint, doc_from bigint, item_from bigint"
+_OUT = "doc_id bigint, item_id bigint, run bigint, distance bigint, doc_from bigint, item_from bigint, passage int"
 
 
 def words(text: str | None) -> list[str]:
@@ -71,14 +73,13 @@ def _verified(doc: list[str], item: list[str], at: int, i: int, size: int, passa
     while b < len(item) and at + (b - i) < len(doc) and item[b] == doc[at + (b - i)]:
         b += 1
     run = b - a
-    if run >= passage:
-        return run, 0, at - (i - a), a
     lo, hi = at - (passage - size) - budget, at + passage + budget
     around = doc[max(0, lo) : hi]
-    best = min(
-        (myers(item[s : s + passage], around) for s in range(max(0, i + size - passage), min(i, max(0, len(item) - passage)) + 1)),
-        default=passage,
-    )
+    best = passage
+    for s in range(max(0, i + size - passage), min(i, max(0, len(item) - passage)) + 1):
+        best = min(best, myers(item[s : s + passage], around))
+        if not best:
+            break
     return run, best, at - (i - a), a
 
 
@@ -103,8 +104,8 @@ class PieceIndex:
             self.automaton.make_automaton()
         self.empty = not where
 
-    def leaks(self, text: str | None) -> Iterator[tuple[int, int, int, int, int]]:
-        """(item id, run, distance, word in the document, word in the item), best hit of each item."""
+    def leaks(self, text: str | None) -> Iterator[tuple[int, int, int, int, int, int]]:
+        """(item id, run, distance, word in the document, word in the item, passage), best hit of each item."""
         if self.empty or not text:
             return
         doc = words(text)
@@ -125,20 +126,21 @@ class PieceIndex:
                 got = _verified(doc, self.texts[k], first, i, self.size, self.passage, self.budget)
                 if got[0] >= self.passage:
                     done[k][first - i] = got[3] + got[0]
-                if k not in best or (got[0], -got[1]) > (best[k][0], -best[k][1]):
+                if k not in best or (-got[1], got[0]) > (-best[k][1], best[k][0]):
                     best[k] = got
         for k, got in best.items():
-            if got[0] >= self.passage or got[1] <= self.budget:
+            if got[1] <= self.budget:
                 for item_id in self.ids[k]:
-                    yield item_id, *got
+                    yield item_id, *got, min(self.passage, len(self.texts[k]))
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, passage: int = PASSAGE, budget: int = BUDGET, max_automaton_items: int = MAX_AUTOMATON_ITEMS) -> DataFrame:
     """Pairs of documents (doc_id, text) and items (item_id, question) that share a passage.
 
-    Columns: doc_id, item_id, run (longest stretch of equal words through a
-    piece), distance (0, or the word edits of the nearest passage up to the
-    budget) and where the run starts in either text.  One row per document and
+    Columns: doc_id, item_id, run (stretch of equal words through the best
+    piece), distance (Myers' word edits of the item's nearest passage,
+    at most the budget; 0 if it stands there word for word), ``passage`` (the words
+    of that passage, fewer than asked for only in shorter items) and where the run starts in either text.  One row per document and
     item, whatever the number of hits; equal questions under several ids give
     one row each, and so do documents that repeat.  Null or empty texts and
     items shorter than a piece match nothing.  The items are a fixed test set:
@@ -155,7 +157,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, passage: int = PASSAGE, b
         index = PieceIndex(shared.value, passage, budget)
         for pdf in batches:
             rows = [(d, *leak) for d, t in zip(pdf["doc_id"], pdf["text"]) for leak in index.leaks(t)]
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "run", "distance", "doc_from", "item_from"])
+            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "run", "distance", "doc_from", "item_from", "passage"])
 
     return documents.select("doc_id", "text").where(F.length("text") > 0).mapInPandas(search, _OUT)
 
@@ -173,7 +175,8 @@ def _joined(documents: DataFrame, items: DataFrame, passage: int, budget: int) -
     item_pieces = its.where(f"size(w) >= {size}").selectExpr(
         "item_id", f"explode(array_distinct(transform(sequence(0, {last}), i -> xxhash64(array_join(slice(w, i + 1, {size}), ' '))))) as piece"
     )
-    pairs = doc_pieces.join(item_pieces, "piece").select("doc_id", "item_id").distinct()
+    salted = item_pieces.selectExpr("item_id", "piece", f"explode(sequence(0, {SALTS - 1})) as salt")
+    pairs = doc_pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["piece", "salt"]).select("doc_id", "item_id").distinct()
     texts = pairs.join(docs.select("doc_id", "text"), "doc_id").join(items.select("item_id", "question"), "item_id")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -181,6 +184,6 @@ def _joined(documents: DataFrame, items: DataFrame, passage: int, budget: int) -
             rows = []
             for d, t, i, q in zip(pdf["doc_id"], pdf["text"], pdf["item_id"], pdf["question"]):
                 rows += [(d, *leak) for leak in PieceIndex([(i, words(q))], passage, budget).leaks(t)]
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "run", "distance", "doc_from", "item_from"])
+            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "run", "distance", "doc_from", "item_from", "passage"])
 
     return texts.select("doc_id", "text", "item_id", "question").mapInPandas(verify, _OUT)

@@ -25,9 +25,6 @@ from duoscope.runtime import materialize
 GROUP = 4_000
 #: Bins filled less than this share are pooled and packed again.
 UNDERFULL = 0.97
-#: Bins in a row that can't be emptied before the search ends.
-PATIENCE = 40
-
 _SIZES = "doc_id bigint, tokens bigint"
 _BINS = "job_name string, capacity bigint, container string, doc_id bigint, piece int, tokens bigint, filled bigint"
 
@@ -81,8 +78,32 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def local_search(sizes: np.ndarray, bins: np.ndarray, capacity: int, patience: int = PATIENCE) -> np.ndarray:
-    """Empties bins by moves and by exchanges one for one and two for one that increase squared fill."""
+def _outs(sizes: np.ndarray, mine: np.ndarray) -> tuple[np.ndarray, list[tuple[int, ...]]]:
+    """What one or two of some items amount to, ascending, and the items of each amount.
+
+    Only different sizes are paired; as they lie in one bin, there are at most
+    the square root of twice its capacity of them.
+    """
+    of = sizes[mine]
+    order = np.argsort(of, kind="stable")
+    u, first, n = np.unique(of[order], return_index=True, return_counts=True)
+    at = mine[order][first]
+    twice = n > 1
+    second = mine[order][np.minimum(first + 1, len(mine) - 1)]
+    x, y = np.triu_indices(len(u), 1)
+    sums = np.concatenate((u, 2 * u[twice], u[x] + u[y]))
+    given = [(int(i),) for i in at] + [(int(i), int(k)) for i, k in zip(at[twice], second[twice])]
+    outs, where = np.unique(sums, return_index=True)
+    own = len(given)
+    return outs, [given[w] if w < own else (int(at[x[w - own]]), int(at[y[w - own]])) for w in where.tolist()]
+
+
+def local_search(sizes: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarray:
+    """Empties bins by moves and by exchanges one for one and two for one that increase squared fill.
+
+    The search ends when the least possible number of bins is reached or when
+    no bin with space can be emptied by any move or exchange.
+    """
     bins = bins.copy()
     n = int(bins.max()) + 1 if len(bins) else 0
     fill = np.bincount(bins, sizes, n).astype(np.int64)
@@ -90,8 +111,7 @@ def local_search(sizes: np.ndarray, bins: np.ndarray, capacity: int, patience: i
     used = int((np.bincount(bins, minlength=n) > 0).sum())
     stuck: set[int] = set()
     alive = np.bincount(bins, minlength=n) > 0
-    misses = 0
-    while used > least and misses < patience:
+    while used > least:
         open_bins = [b for b in np.nonzero(alive)[0] if b not in stuck and fill[b] < capacity]
         if len(open_bins) < 2:
             break
@@ -120,20 +140,15 @@ def local_search(sizes: np.ndarray, bins: np.ndarray, capacity: int, patience: i
             if not len(theirs):
                 break
             size_b, fill_b = sizes[theirs], fill[bins[theirs]]
-            best, choice = 0.0, None
-            groups = [(i,) for i in mine]
-            if len(mine) <= 40:
-                groups += [(i, j) for x, i in enumerate(mine) for j in mine[x + 1 :]]
-            for g in groups:
-                out = int(sizes[list(g)].sum())
-                diff = out - size_b
-                gain = np.where((diff > 0) & (diff <= capacity - fill_b), (fill_b + diff) ** 2.0 - fill_b**2.0 + (fill[a] - diff) ** 2.0 - float(fill[a]) ** 2, 0.0)
-                k = int(np.argmax(gain))
-                if gain[k] > best:
-                    best, choice = float(gain[k]), (g, theirs[k])
-            if choice is None:
+            outs, given = _outs(sizes, mine)
+            # a larger difference gains more, so of what may leave only the largest that fits is tried for each item
+            k = np.searchsorted(outs, size_b + capacity - fill_b, side="right") - 1
+            diff = np.where(k >= 0, outs[k] - size_b, 0)
+            gain = np.where(diff > 0, (fill_b + diff) ** 2.0 - fill_b**2.0 + (fill[a] - diff) ** 2.0 - float(fill[a]) ** 2, 0.0)
+            t = int(np.argmax(gain))
+            if gain[t] <= 0:
                 break
-            g, j = choice
+            g, j = given[k[t]], theirs[t]
             b = bins[j]
             moved = int(sizes[list(g)].sum())
             bins[list(g)], bins[j] = b, a
@@ -141,9 +156,6 @@ def local_search(sizes: np.ndarray, bins: np.ndarray, capacity: int, patience: i
             fill[b] += moved - sizes[j]
         if alive[a]:
             stuck.add(int(a))
-            misses += 1
-        else:
-            misses = 0
     return bins
 
 
@@ -170,7 +182,7 @@ def pack(sizes: DataFrame, targets: DataFrame, group: int = GROUP) -> DataFrame:
     item; no other document is split.  Empty documents lie in a container like
     any other.  Targets without a positive capacity give no row.
     """
-    jobs = [(r["job_name"], int(r["capacity_tokens"])) for r in targets.where("capacity_tokens > 0").distinct().limit(1_000).collect()]
+    jobs = [(r["job_name"], int(r["capacity_tokens"])) for r in targets.where("capacity_tokens > 0").distinct().collect()]  # written by hand
     columns = "job_name string, capacity bigint, container string, doc_id bigint, piece int, tokens bigint"
     if not jobs:
         return sizes.sparkSession.createDataFrame([], columns)

@@ -13,6 +13,7 @@ leaves a partition.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,9 +23,7 @@ from pyspark.sql import types as T
 
 from duoscope.runtime import materialize
 
-#: Undecided rows, over all sources, below which the ranks are read off by one sort.
-FINISH_ROWS = 200_000
-#: Sources times scores up to which bounds and pivots are held by the driver (a few numbers each).
+#: Sources times scores whose bounds and pivots are held by the driver at once (a few numbers each); more are taken in turns.
 MAX_SOURCES = 100_000
 
 _PASS = "gid int, n_gt bigint, n_eq bigint, n_lt bigint, med_gt double, med_lt double"
@@ -86,19 +85,7 @@ def _pass(lo: np.ndarray, hi: np.ndarray, pivot: np.ndarray):
     return run
 
 
-def _sorted_cutoffs(rows: DataFrame, need: DataFrame) -> DataFrame:
-    """Exact ranks by one sort per source; for what is left of it, or for very many sources."""
-    by = rows.groupBy("gid", "value").agg(F.count("*").alias("n"))
-    return (
-        by.join(need, "gid")
-        .selectExpr("gid", "value", "k", "sum(n) over (partition by gid order by value desc) as upto")
-        .where("upto >= k")
-        .groupBy("gid")
-        .agg(F.max("value").alias("cutoff"))
-    )
-
-
-def cutoffs(rows: DataFrame, targets: DataFrame, sources: list[str], finish_rows: int = FINISH_ROWS) -> DataFrame:
+def cutoffs(rows: DataFrame, targets: DataFrame, sources: list[str], max_sources: int = MAX_SOURCES) -> DataFrame:
     """One row per target: sources, score, keep_pct, usable rows and the cutoff.
 
     ``rows`` is the result of :func:`long_scores`.  The cutoff is the largest
@@ -110,9 +97,13 @@ def cutoffs(rows: DataFrame, targets: DataFrame, sources: list[str], finish_rows
     """
     spark = rows.sparkSession
     wanted = [*sources, "score", "keep_pct"]
-    listed = targets.select(*wanted).where(F.col("keep_pct").isNotNull()).distinct().limit(MAX_SOURCES + 1).collect()
-    if len(listed) > MAX_SOURCES:
-        return _window_cutoffs(rows, targets, sources)
+    aims = targets.select(*wanted).where(F.col("keep_pct").isNotNull()).distinct()
+    listed = aims.limit(max_sources + 1).collect()
+    if len(listed) > max_sources:  # the same, a part of the targets at a time
+        parts = 2 * -(-aims.count() // max_sources)
+        turn = F.pmod(F.xxhash64(*wanted), F.lit(parts))
+        each = [cutoffs(rows, aims.where(turn == i), sources, max(max_sources, 2)) for i in range(parts)]
+        return reduce(DataFrame.unionByName, each)
     fields = targets.select(*wanted).schema.fields
     result = T.StructType([*fields, T.StructField("usable", T.LongType()), T.StructField("cutoff", T.DoubleType())])
     if not listed:
@@ -164,32 +155,12 @@ def cutoffs(rows: DataFrame, targets: DataFrame, sources: list[str], finish_rows
             break
         bounds = spark.createDataFrame([(int(i), float(lo[i]), float(hi[i]), int(k[i])) for i in left], "gid int, lo double, hi double, k bigint")
         undecided = values.join(F.broadcast(bounds), "gid").where("value > lo and value < hi").select("gid", "value")
-        if open_rows <= finish_rows:
-            for r in _sorted_cutoffs(undecided, bounds.select("gid", "k")).collect():  # one row per source
-                cut[r["gid"]] = r["cutoff"]
-            break
         if held is None or open_rows * 8 <= held:
             values, held = (undecided, open_rows) if held is None else (materialize(undecided), open_rows)
     done = [(*listed[i], int(usable[i]), float(cut[i])) for i in range(g) if usable[i]]
     return spark.createDataFrame(done, result)
 
 
-def _window_cutoffs(rows: DataFrame, targets: DataFrame, sources: list[str]) -> DataFrame:
-    """The same for more targets than the driver should hold: one aggregation and one window by source."""
-    keys = [*sources, "score"]
-    counted = rows.groupBy(*keys, "value").agg(F.count("*").alias("n"))
-    part = ", ".join(f"`{c}`" for c in keys)
-    ranked = counted.selectExpr("*", f"sum(n) over (partition by {part} order by value desc) as upto", f"sum(n) over (partition by {part}) as usable")
-    t = targets.select(*keys, "keep_pct").where("keep_pct is not null").distinct()
-    match = [F.col(f"t.{c}").eqNullSafe(F.col(f"r.{c}")) for c in keys]
-    joined = t.alias("t").join(ranked.alias("r"), match)
-    return (
-        joined.where("r.upto * 100 >= t.keep_pct * r.usable")
-        .groupBy(*[F.col(f"t.{c}").alias(c) for c in keys], "t.keep_pct", "r.usable")
-        .agg(F.max("r.value").alias("cutoff"))
-    )
-
-
 def kept(rows: DataFrame, cuts: DataFrame, key: str, sources: list[str]) -> DataFrame:
     """The rows (sources, score, key, value, cutoff) at or above their cutoff; ties at the cutoff stay."""
     match = F.col("r.score").eqNullSafe(F.col("c.score")) & (F.col("r.value") >= F.col("c.cutoff"))

@@ -135,7 +135,7 @@ def p7_leaks(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
-    return p7_leaks(spark, root).where(F.col("run") >= leakage.PASSAGE).select("doc_id", "item_id")
+    return p7_leaks(spark, root).where(f"distance = 0 and passage = {leakage.PASSAGE}").select("doc_id", "item_id")
 
 
 def p7_items(spark: SparkSession, root: str) -> DataFrame:

@@ -128,14 +128,15 @@ def brute_cutoff(values, pct):
     return next((v for v in ok if sum(x >= v for x in ok) * 100 >= pct * len(ok)), None)
 
 
-@pytest.mark.parametrize("finish", [0, 5, 10**6])
-def test_quickselect(spark, finish):
-    rng = random.Random(finish)
+@pytest.mark.parametrize("most", [1, 3, 10**5])
+def test_quickselect(spark, most):
+    """All targets at once, or some at a time."""
+    rng = random.Random(most)
     rows = [(i, g, rng.choice([rng.random(), 0.5, 0.25, 1.0, 0.0, -1.0, 7.0, float("nan"), None])) for i in range(600) for g in [rng.choice(["a", "a", "a", "b", None])]]
     df = spark.createDataFrame(rows, "k long, g string, s double").withColumn("gid", F.lit(1)).withColumn("value", F.lit("x")).repartition(5)
     targets = spark.createDataFrame([("a", "s", 10), ("a", "s", 10), ("b", "s", 100), (None, "s", 33), ("c", "s", 50), ("a", "s", 1), ("b", "s", None), ("b", "s", 0)], "g string, score string, keep_pct int")
     long = quantile_cut.long_scores(df, "k", ["g"], ["s"])
-    cuts = quantile_cut.cutoffs(long, targets, ["g"], finish_rows=finish)
+    cuts = quantile_cut.cutoffs(long, targets, ["g"], max_sources=most)
     got = {(r["g"], r["keep_pct"]): r["cutoff"] for r in cuts.collect()}
     for (g, p), c in got.items():
         want = brute_cutoff([s for _, x, s in rows if x == g], p)
@@ -143,7 +144,6 @@ def test_quickselect(spark, finish):
     assert set(got) == {("a", 10), ("b", 100), (None, 33), ("a", 1), ("b", 0)}
     kept = quantile_cut.kept(long, cuts.where("keep_pct = 10"), "k", ["g"])
     assert kept.count() == sum(1 for _, g, s in rows if g == "a" and s is not None and got[("a", 10)] <= s <= 1)
-    assert quantile_cut._window_cutoffs(long, targets.where("keep_pct > 0"), ["g"]).count() == 4
 
 
 def test_quickselect_empty(spark):
@@ -436,6 +436,19 @@ def test_local_search_never_worse():
         assert np.bincount(end, sizes).max() <= 100 and len(set(end)) <= len(set(start))
     hard = np.array([44, 24, 24, 22, 21, 17, 8, 8, 6, 6])
     assert len(set(packing.local_search(hard, packing.best_fit_decreasing(hard, 60), 60))) == 3
+    many = np.concatenate((rng.integers(0, 4, 3_000), rng.integers(300, 700, 400)))  # bins of very many items
+    end = packing.local_search(many, packing.best_fit_decreasing(many, 1_000), 1_000)
+    assert np.bincount(end, many).max() <= 1_000
+
+
+def test_outs_against_pairs():
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        sizes, mine = rng.integers(0, 9, 40), np.sort(rng.choice(40, 12, replace=False))
+        outs, given = packing._outs(sizes, mine)
+        want = {int(sizes[i]) for i in mine} | {int(sizes[i] + sizes[k]) for n, i in enumerate(mine) for k in mine[n + 1 :]}
+        assert outs.tolist() == sorted(want)
+        assert all(int(sizes[list(g)].sum()) == o and len(set(g)) == len(g) and set(g) <= set(mine.tolist()) for o, g in zip(outs, given))
 
 
 def test_token_sizes(spark):
@@ -480,7 +493,7 @@ def test_leaks_both_ways(spark):
         want |= {(d, i) for i, q in items if any(tuple(leakage.words(q)[k : k + 10]) in grams for k in range(len(leakage.words(q)) - 9))}
     for bound in (1_000, 0):
         got = leakage.find_leaks(dd, ii, max_automaton_items=bound)
-        assert {(r["doc_id"], r["item_id"]) for r in got.where("run >= 10").collect()} == want
+        assert {(r["doc_id"], r["item_id"]) for r in got.where("distance = 0 and passage = 10").collect()} == want
     assert leakage.find_leaks(dd.limit(0), ii).count() == 0 and leakage.find_leaks(dd, ii.limit(0)).count() == 0
 
 
@@ -518,3 +531,22 @@ def test_stuffed_pages(spark):
     assert {i for i, _, _ in spam} <= set(got)
     assert not {i for i, _, _ in prose + verse} & set(got) and 3005 not in got and 3003 not in got
     assert stuffing.classify(df.limit(0)).count() == 0
+
+
+def test_stuffed_lines_of_hosts(spark):
+    """A host's own menu is left out however few pages the host has among all; a keyword line it repeats is not."""
+    from duoscope.llm import stuffing
+
+    rng = random.Random(3)
+    menu = "Moss & Fern\nOur herbarium\nSeeds by post\n"
+    spam = "cheap boots, gold watch, vape juice, casino bonus, payday loan, cheap flights, gold watch, vape juice, cheap boots, casino bonus, gold watch"
+    pages = [(i, "en", f"host{i % 300}", f"The mill number {i} was sold in {rng.randint(1900, 2000)}.\nNobody in town {rng.randint(0, 99)} knew why.") for i in range(3_000)]
+    pages += [(10_000 + i, "en", "fern", menu + f"A fern numbered {i} was found by the river in {1900 + i}.") for i in range(8)]
+    pages += [(20_000 + i, "en", "spam", f"{spam}\npage {i}\n{spam}") for i in range(40)]
+    df = spark.createDataFrame(pages, "doc_id long, lang string, source string, text string")
+    everywhere, own = stuffing.common_lines(df.select("source", "text"))
+    got = {(r["source"], r["line"]) for r in own.collect()}
+    assert {("fern", stuffing._line(x)) for x in menu.strip().split("\n")} <= got
+    assert not any(h == stuffing._line(spam) for h in [*everywhere, *(line for _, line in got)])
+    found = {r["doc_id"] for r in stuffing.classify(df).where("stuffed").collect()}
+    assert {20_000 + i for i in range(40)} <= found and not found & set(range(12_000))
