@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import urllib.request
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
@@ -19,10 +20,7 @@ from pyspark.sql import functions as F
 from duoscope.functions import rewrite
 from duoscope.operators import audit, generation, validation
 from duoscope.runtime import materialize
-from duoscope.specs.dialects import DIALECTS, Dialect
-
-SYSTEM = "You rewrite Standard American English as the dialect you are told, keeping its meaning. Give the rewritten text only."
-TEMPLATE = "Rewrite in the dialect {dialect}:\n\n{text}"
+from duoscope.specs.dialects import DIALECTS, Dialect, require_prompts
 
 
 class Client(Protocol):
@@ -59,7 +57,33 @@ class HttpChat:
             return json.load(reply)["choices"][0]["message"]["content"]
 
 
-BACKENDS: dict[str, Callable[..., Client]] = {"echo": Echo, "http": HttpChat}
+@dataclass
+class HttpCompletion:
+    """A local server that completes a prompt: POST of model, system, prompt and options, answer under ``response``."""
+
+    url: str
+    model: str
+    temperature: float = 0.3
+    max_tokens: int = 1024
+    timeout: float = 120.0
+
+    def ask(self, prompt: str, system: str | None = None) -> str:
+        body = {"model": self.model, "prompt": prompt, "stream": False, "options": {"temperature": self.temperature, "num_predict": self.max_tokens}} | ({"system": system} if system else {})
+        request = urllib.request.Request(f"{self.url.rstrip('/')}/api/generate", json.dumps(body).encode(), {"Content-Type": "application/json"})
+        with urllib.request.urlopen(request, timeout=self.timeout) as reply:
+            return json.load(reply)["response"]
+
+
+def list_models(url: str, timeout: float = 10.0) -> list[str]:
+    """Names of the models of a completion server; empty if it can't be reached."""
+    try:
+        with urllib.request.urlopen(f"{url.rstrip('/')}/api/tags", timeout=timeout) as reply:
+            return sorted(m["name"] for m in json.load(reply).get("models", []))
+    except (OSError, ValueError, KeyError):
+        return []
+
+
+BACKENDS: dict[str, Callable[..., Client]] = {"echo": Echo, "http": HttpChat, "completion": HttpCompletion}
 
 
 def make_client(backend: str, **options: object) -> Callable[[], Client]:
@@ -96,7 +120,8 @@ def rewrite_all(samples: DataFrame, dialect: Dialect, client: Callable[[], Clien
 
 
 def _rewrite_once(samples: DataFrame, dialect: Dialect, client: Callable[[], Client], attempts: int, parallel: int | None) -> DataFrame:
-    system, template = dialect.prompts.get("system", SYSTEM), dialect.prompts.get("user_template", TEMPLATE).replace("{dialect}", dialect.name)
+    prompts = require_prompts(dialect)
+    system, template = prompts["system"], prompts["user_template"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = client()

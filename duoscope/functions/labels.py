@@ -12,6 +12,9 @@ BENCHMARK_LABELS = {
     "gsm8k": "GSM8K", "arc_challenge": "ARC Challenge", "hellaswag": "HellaSwag", "mmlu": "MMLU", "boolq": "BoolQ", "truthfulqa": "TruthfulQA",
     "realtoxicityprompts": "RealToxicity", "donotanswer": "DoNotAnswer", "toxigen": "ToxiGen",
 }
+MODEL_LABELS = {"qwen2.5:14b": "Qwen 2.5 14B", "qwen2.5:7b": "Qwen 2.5 7B", "llama3.1:8b": "Llama 3.1 8B", "gemma2:9b": "Gemma 2 9B", "mistral:7b": "Mistral 7B"}
+#: Folders of models that tables over all models read, in their order.
+MODEL_FOLDERS = ["qwen2.5_14b", "qwen2.5_7b", "gemma2_9b", "llama3.1_8b", "mistral_7b"]
 DIALECT_LABELS = {"hiberno_english": "Hiberno-English", "aave": "AAVE", "indian_english": "Indian English"}
 ACCURACY_BENCHMARKS = ["gsm8k", "arc_challenge", "hellaswag", "mmlu", "boolq", "truthfulqa"]
 TOXICITY_BENCHMARKS = ["realtoxicityprompts", "donotanswer", "toxigen"]
@@ -74,6 +77,18 @@ def norm_shade(value: Column, low: Column, high: Column) -> Column:
     return F.when(high == low, 0.5).otherwise((value - low) / (high - low))
 
 
+def ramp(shade: Column, low: tuple[float, float, float], high: tuple[float, float, float]) -> list[Column]:
+    """Red, green and blue, 0 to 1, of a shade between two colours."""
+    return [F.lit(a) + (F.lit(b) - F.lit(a)) * shade for a, b in zip(low, high)]
+
+
+def text_contrast(red: Column, green: Column, blue: Column) -> Column:
+    """The colour of text on a cell: dark on cells whose luminance is above 0.45, white on others."""
+    # Weights of luminance, its bound and the two colours.
+    luminance = 0.299 * red + 0.587 * green + 0.114 * blue
+    return F.when(luminance > 0.45, "#1a1a1a").otherwise("#FFFFFF")
+
+
 def percent(value: Column) -> Column:
     """A share as a signless percentage with one decimal."""
     return F.format_string("%.1f%%", value * 100)

@@ -82,15 +82,27 @@ def _percent(x: pd.Series, signed: pd.Series) -> pd.Series:
 def summary_text(summary: DataFrame) -> DataFrame:
     """A block of text per audit summary, worded by kind of benchmark."""
     pct = lambda c, signed=False: F.coalesce(_percent(F.col(c), F.lit(signed)), F.lit("null%"))
-    gap = pct("accuracy_gap", True)
     tox = F.col("benchmark_type") == "toxicity"
-    word = F.when(tox, "Refusal rate").otherwise("Accuracy")
+    # The labels of the block, for accuracy and for toxicity benchmarks.
+    said = lambda accuracy, toxicity: F.when(tox, toxicity).otherwise(accuracy)
+    number = lambda c: F.col(c).cast("string")
+    share = lambda c, n: F.concat(pct(c), F.lit(" ("), number(n), F.lit("/"), number("total_pairs"), F.lit(")"))
     lines = F.concat_ws(
         "\n",
-        F.concat(F.lit("Audit: "), "benchmark", F.lit(" / "), "dialect", F.lit(" / "), "model"),
-        F.concat(F.lit("Pairs: "), F.col("total_pairs").cast("string"), F.lit(", errors: "), F.col("errors").cast("string")),
-        F.concat(word, F.lit(" (SAE): "), pct("original_accuracy")),
-        F.concat(word, F.lit(" (dialect): "), pct("transformed_accuracy")),
-        F.concat(F.lit("Gap: "), gap),
+        said("=== Fairness Audit Results ===", "=== Fairness Audit Results (Toxicity) ==="),
+        F.concat(F.lit("Model: "), "model"),
+        F.concat(F.lit("Benchmark: "), "benchmark"),
+        F.concat(F.lit("Dialect: "), "dialect"),
+        F.concat(F.lit("Total pairs: "), number("total_pairs")),
+        F.lit(""),
+        F.concat(said("Original accuracy:    ", "Original refusal rate:    "), share("original_accuracy", "original_correct")),
+        F.concat(said("Transformed accuracy: ", "Transformed refusal rate: "), share("transformed_accuracy", "transformed_correct")),
+        F.concat(said("Accuracy gap:         ", "Refusal gap:              "), pct("accuracy_gap", True)),
+        F.lit(""),
+        F.concat(said("Both correct:              ", "Both refused:                  "), number("both_correct")),
+        F.concat(said("Both wrong:                ", "Both complied:                 "), number("both_wrong")),
+        F.concat(said("Original only correct:     ", "Original only refused:         "), number("original_only_correct")),
+        F.concat(said("Transformed only correct:  ", "Transformed only refused:      "), number("transformed_only_correct")),
+        F.when(F.col("errors") > 0, F.concat(F.lit("Errors: "), number("errors"))),
     )
     return summary.withColumn("summary", lines)

@@ -87,23 +87,9 @@ def recount_audits(spark: SparkSession, root: str) -> DataFrame:
     return _shown(audit.recount(table(spark, root, "audits"), ["benchmark", "dialect", "model"]))
 
 
-@PLAN.query(
-    """select audit_id, 'Audit: ' || benchmark || ' / ' || dialect || ' / ' || model || E'\\nPairs: ' || total_pairs || ', errors: ' || errors || E'\\n' || w || ' (SAE): ' || printf('%.1f%%', original_accuracy * 100)
-  || E'\\n' || w || ' (dialect): ' || printf('%.1f%%', transformed_accuracy * 100) || E'\\nGap: ' || case when g >= 0 then '+' else '-' end || printf('%.1f%%', abs(g)) as summary
-from (select *, case when benchmark_type = 'toxicity' then 'Refusal rate' else 'Accuracy' end as w, accuracy_gap * 100 as g from audits) where abs(original_accuracy * 1000 - floor(original_accuracy * 1000) - 0.5) > 1e-6 and abs(transformed_accuracy * 1000 - floor(transformed_accuracy * 1000) - 0.5) > 1e-6 and abs(g * 10 - floor(g * 10) - 0.5) > 1e-6 and abs(g) > 0.05"""
-)
-def audit_summary_text(spark: SparkSession, root: str) -> DataFrame:
-    """Where no percentage lies between two tenths, which engines round differently."""
-    df = table(spark, root, "audits")
-    tie = lambda c: F.abs(c - F.floor(c) - 0.5) > 1e-6
-    gap = F.col("accuracy_gap") * 100
-    df = df.where(tie(F.col("original_accuracy") * 1000) & tie(F.col("transformed_accuracy") * 1000) & tie(gap * 10) & (F.abs(gap) > 0.05))
-    return audit.summary_text(df).select("audit_id", "summary")
-
-
 @PLAN.query()
-def audit_summary_text_whole(spark: SparkSession, root: str) -> DataFrame:
-    """audit_summary_text over all audits, ties and small gaps too."""
+def audit_summary_text(spark: SparkSession, root: str) -> DataFrame:
+    """Over all audits; no SQL, since engines round percentages that lie between two tenths differently."""
     return audit.summary_text(table(spark, root, "audits")).select("audit_id", "summary")
 
 
@@ -154,15 +140,15 @@ def filter_benchmark_class(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "audits").where(F.col("benchmark").isin(labels.TOXICITY_BENCHMARKS)).select("audit_id", "benchmark")
 
 
-def _cells_sql(missing: str) -> str:
+def _cells_sql(missing: str, wanted: list[str] = labels.ACCURACY_BENCHMARKS, shown: str = r("{}")) -> str:
     fill = (lambda c: f"coalesce({c}, 0)") if missing == "0" else (lambda c: c)
-    return f"""with {_LATEST}, g as (select m.model, b.benchmark, d.dialect from (select distinct model from latest) m, (select unnest([{_ACC}]) as benchmark) b, (select unnest({labels.DIALECT_ORDER}) as dialect) d),
+    return f"""with {_LATEST}, g as (select m.model, b.benchmark, d.dialect from (select distinct model from latest) m, (select unnest({wanted}) as benchmark) b, (select unnest({labels.DIALECT_ORDER}) as dialect) d),
 cells as (select g.*, {fill('l.original_accuracy * 100')} as o, {fill('l.transformed_accuracy * 100')} as t from g left join latest l using (model, benchmark, dialect))
-select benchmark, model, {r('avg(o)')} as sae, {r('avg(t)')} as mean, {', '.join(f"{r(f'''max(t) filter (dialect = '{d}')''')} as {d}" for d in labels.DIALECT_ORDER)} from cells group by all"""
+select benchmark, model, {shown.format('avg(o)')} as sae, {shown.format('avg(t)')} as mean, {', '.join(f"{shown.format(f'max(t) filter (dialect = {chr(39)}{d}{chr(39)})')} as {d}" for d in labels.DIALECT_ORDER)} from cells group by all"""
 
 
-def _table(spark: SparkSession, root: str, missing: float | None) -> DataFrame:
-    out = reports.benchmark_table(_latest(spark, root), labels.ACCURACY_BENCHMARKS, missing, None)
+def _table(spark: SparkSession, root: str, missing: float | None, wanted: list[str] = labels.ACCURACY_BENCHMARKS) -> DataFrame:
+    out = reports.benchmark_table(_latest(spark, root), wanted, missing, None)
     return out.select("benchmark", "model", *[rounded(c).alias(c) for c in ("sae", "mean", *labels.DIALECT_ORDER)])
 
 
@@ -176,16 +162,16 @@ def join_grid_null(spark: SparkSession, root: str) -> DataFrame:
     return _table(spark, root, None)
 
 
-@PLAN.query()
+@PLAN.query(_cells_sql("0", shown="round_even({}, 1)"))
 def benchmark_table(spark: SparkSession, root: str) -> DataFrame:
     """Rounded half to even to one decimal, missing cells 0."""
     return reports.benchmark_table(_latest(spark, root), labels.ACCURACY_BENCHMARKS)
 
 
-@PLAN.query()
+@PLAN.query(_cells_sql("", labels.TOXICITY_BENCHMARKS))
 def toxicity_table(spark: SparkSession, root: str) -> DataFrame:
     """The same for refusal rates, missing cells null."""
-    return reports.benchmark_table(_latest(spark, root), labels.TOXICITY_BENCHMARKS, None, None)
+    return _table(spark, root, None, labels.TOXICITY_BENCHMARKS)
 
 
 def _pivot_sql(value: str, cols: list[str], scale: str = "") -> str:
@@ -260,10 +246,10 @@ def _label_sql(c: str, names: dict[str, str]) -> str:
     return f"case {c} " + " ".join(f"when '{k}' then '{v}'" for k, v in names.items()) + f" else {c} end"
 
 
-@PLAN.query(f"select distinct {_label_sql('benchmark', labels.BENCHMARK_LABELS)} as benchmark_label, {_label_sql('dialect', labels.DIALECT_LABELS)} as dialect_label from audits")
+@PLAN.query(f"select distinct {_label_sql('benchmark', labels.BENCHMARK_LABELS)} as benchmark_label, {_label_sql('dialect', labels.DIALECT_LABELS)} as dialect_label, {_label_sql('model', labels.MODEL_LABELS)} as model_label from audits")
 def label_names(spark: SparkSession, root: str) -> DataFrame:
     df = table(spark, root, "audits")
-    return df.select(labels.label(F.col("benchmark"), labels.BENCHMARK_LABELS).alias("benchmark_label"), labels.label(F.col("dialect"), labels.DIALECT_LABELS).alias("dialect_label")).distinct()
+    return df.select(labels.label(F.col("benchmark"), labels.BENCHMARK_LABELS).alias("benchmark_label"), labels.label(F.col("dialect"), labels.DIALECT_LABELS).alias("dialect_label"), labels.label(F.col("model"), labels.MODEL_LABELS).alias("model_label")).distinct()
 
 
 @PLAN.query("select distinct dialect, array_to_string([upper(x[1]) || lower(x[2:]) for x in string_split(replace(dialect, '_', ' '), ' ')], ' ') as title from audits")
@@ -299,47 +285,54 @@ _EXACT = f"least(1.0, 2.0 * list_sum([exp(lgamma(({_B} + {_C}) + 1) - lgamma(k +
 _STAT = f"case when {_B} + {_C} = 0 then null when {_B} + {_C} < 25 then least({_B}, {_C})::double else power(abs({_B} - {_C}) - 1, 2) / ({_B} + {_C}) end"
 
 
-@PLAN.query(f"select audit_id, {r(_STAT)} as statistic, case when {_B} + {_C} < 25 then 'exact' else 'chi2' end as method, case when {_B} + {_C} = 0 then 1.0 when {_B} + {_C} < 25 then {r(_EXACT)} end as exact_p from audits")
+# the tail of chi-squared with one degree of freedom from the series of erf whose terms are all positive
+_Z = f"sqrt(({_STAT}) / 2)"
+_ERF = f"(2 / sqrt(pi()) * exp(-({_STAT}) / 2) * list_sum([exp(2 * k * ln(2.0) + (2 * k + 1) * ln({_Z}) - lgamma(2 * k + 2) + lgamma(k + 1)) for k in range(0, 300)]))"
+_P = f"case when {_B} + {_C} = 0 then 1.0 when {_B} + {_C} < 25 then {_EXACT} when {_STAT} = 0 then 1.0 when {_STAT} > 60 then 0.0 else 1 - {_ERF} end"
+_METHOD = f"case when {_B} + {_C} < 25 then 'exact' else 'chi2' end"
+
+
+def _bh_sql(source: str, key: str) -> str:
+    """Adjusted p over all rows of ``source``, which has p."""
+    return f"select *, {r(f'least(1.0, min(p * m / rank) over (order by p, {key} rows between current row and unbounded following))')} as p_adjusted from (select *, count(*) over () as m, row_number() over (order by p, {key}) as rank from {source})"
+
+
+@PLAN.query(f"select audit_id, {r(_STAT)} as statistic, {_METHOD} as method, {r(_P)} as p_value from audits")
 def mcnemar(spark: SparkSession, root: str) -> DataFrame:
-    """Statistic of every audit, and p where the exact form applies."""
+    """Statistic and p of every audit."""
     b, c = F.col(_B), F.col(_C)
-    p = F.when(b + c == 0, 1.0).when(b + c < 25, rounded(stats.mcnemar_exact(b, c)))
-    return table(spark, root, "audits").select("audit_id", rounded(stats.mcnemar_statistic(b, c)).alias("statistic"), stats.mcnemar_method(b, c).alias("method"), p.alias("exact_p"))
+    return table(spark, root, "audits").select("audit_id", rounded(stats.mcnemar_statistic(b, c)).alias("statistic"), stats.mcnemar_method(b, c).alias("method"), rounded(stats.mcnemar_p(b, c)).alias("p_value"))
 
 
-@PLAN.query()
+@PLAN.query(f"with {_LATEST} select model, benchmark, dialect, audit_id, {r(_STAT)} as statistic, {r(_P)} as p_value, {_METHOD} as method, ({_P}) < 0.05 as significant_05, ({_P}) < 0.01 as significant_01 from latest")
 def mcnemar_audits(spark: SparkSession, root: str) -> DataFrame:
     """All p-values, with flags, in their order."""
-    out = statistics.mcnemar_audits(_latest(spark, root))
-    return out.select(*KEYS, "audit_id", "statistic", "p_value", "method", "significant_05", "significant_01").orderBy("p_value", *KEYS)
-
+    out = statistics.mcnemar_audits(_latest(spark, root)).orderBy("p_value", *KEYS)
+    return out.select(*KEYS, "audit_id", rounded("statistic").alias("statistic"), rounded("p_value").alias("p_value"), "method", "significant_05", "significant_01")
 
-_BH = f"""with e as (select audit_id, {_EXACT} as p from audits where {_B} + {_C} between 1 and 24),
-k as (select audit_id, round(p, 9) as p, count(*) over () as m, row_number() over (order by round(p, 9), audit_id) as rank from e)
-select audit_id, {r('least(1.0, min(p * m / rank) over (order by p, audit_id rows between current row and unbounded following))')} as p_adjusted from k"""
 
-
-@PLAN.query(_BH)
+@PLAN.query(f"select audit_id, p_adjusted from ({_bh_sql(f'(select audit_id, round({_P}, 9) as p from audits)', 'audit_id')})")
 def bh_adjust(spark: SparkSession, root: str) -> DataFrame:
-    """Over the audits whose test is exact."""
-    df = table(spark, root, "audits").where(f"{_B} + {_C} between 1 and 24")
-    tests = df.select("audit_id", F.round(stats.mcnemar_exact(F.col(_B), F.col(_C)), 9).alias("p"))
+    """Over all audits: one family of exact and chi-squared tests."""
+    tests = table(spark, root, "audits").select("audit_id", F.round(stats.mcnemar_p(F.col(_B), F.col(_C)), 9).alias("p"))
     return statistics.bh_adjust(tests, "p", ["audit_id"]).select("audit_id", rounded("p_adjusted").alias("p_adjusted"))
 
 
-@PLAN.query()
-def bh_adjust_whole(spark: SparkSession, root: str) -> DataFrame:
-    """bh_adjust over all audits: one family of exact and chi-squared tests."""
-    tests = table(spark, root, "audits").select("audit_id", F.round(stats.mcnemar_p(F.col(_B), F.col(_C)), 9).alias("p"))
-    return statistics.bh_adjust(tests, "p", ["audit_id"]).select("audit_id", rounded("p_adjusted").alias("p_adjusted"))
+_SIGNIFICANCE = f"with c as (select model, benchmark, dialect, {_CONFUSION} from audit_pairs group by all), t as (select *, {_P} as p from c)"
 
 
-@PLAN.query()
+@PLAN.query(
+    f"""{_SIGNIFICANCE}, j as ({_bh_sql('t', 'model, benchmark, dialect')})
+select model, benchmark, dialect, total_pairs, {r('coalesce(transformed_correct / nullif(total_pairs, 0), 0) - coalesce(original_correct / nullif(total_pairs, 0), 0)')} as accuracy_gap, {r(_STAT)} as statistic,
+  {_METHOD} as method, {r('p')} as p_value, p_adjusted, case when p_adjusted < 0.01 then '**' when p_adjusted < 0.05 then '*' else '' end as marker from j"""
+)
 def significance(spark: SparkSession, root: str) -> DataFrame:
     """Paired confusion, McNemar's test and adjusted p per model, benchmark and dialect."""
     counts = audit.confusion(table(spark, root, "audit_pairs"), KEYS)
     tests = statistics.bh_adjust(statistics.mcnemar_audits(counts), "p_value", KEYS)
-    return tests.select(*KEYS, "total_pairs", "accuracy_gap", "statistic", "method", "p_value", "p_adjusted", stats.significance_marker(F.col("p_adjusted")).alias("marker")).orderBy("p_adjusted", *KEYS)
+    shown = [rounded(c).alias(c) for c in ("statistic", "p_value", "p_adjusted")]
+    tests = tests.orderBy("p_adjusted", *KEYS)
+    return tests.select(*KEYS, "total_pairs", rounded("accuracy_gap").alias("accuracy_gap"), *shown, "method", stats.significance_marker(rounded("p_adjusted")).alias("marker"))
 
 
 @PLAN.query()
@@ -470,8 +463,8 @@ def dedup_best_success(spark: SparkSession, root: str) -> DataFrame:
 def skip_existing_output(spark: SparkSession, root: str) -> DataFrame:
     """Combinations without a large audit yet."""
     audits = table(spark, root, "audits")
-    models = F.array(*[F.lit(x["model"]) for x in audits.select("model").distinct().orderBy("model").limit(1_000).collect()])  # names of models
-    planned = table(spark, root, "generated_pairs").select("benchmark", "dialect").distinct().withColumn("model", F.explode(models))
+    models = audits.select("model").distinct().agg(F.collect_list("model").alias("models"))  # one row, which is broadcast
+    planned = table(spark, root, "generated_pairs").select("benchmark", "dialect").distinct().join(F.broadcast(models), how="inner").select("benchmark", "dialect", F.explode("models").alias("model"))
     return shards.work_list(planned, audits.where("total_pairs > 100"), ["benchmark", "dialect", "model"])
 
 

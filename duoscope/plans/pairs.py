@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from duoscope.functions import grading, labels, rewrite
 from duoscope.operators import audit, generation, validation
 from duoscope.plans.base import Plan, r, rounded
 from duoscope.runtime import table
-from duoscope.specs.dialects import DIALECTS
+from duoscope.specs.dialects import DIALECTS, prompt_dialects
 
 PLAN = Plan()
 
@@ -95,22 +97,9 @@ def detect_refusal(spark: SparkSession, root: str) -> DataFrame:
     return df.select("audit_key", *[grading.detect_refusal(F.col(f"{s}_response")).alias(s) for s in ("original", "transformed")])
 
 
-_PLAIN = "transformed_answer is not null and not regexp_matches(transformed_answer, '[^ -~]')"
-
-
-@PLAN.query(
-    f"select audit_key, {_normal_sql('transformed_answer')} as normal, coalesce({_normal_sql('transformed_answer')} = {_normal_sql('expected_answer')}, false) as correct from audit_pairs where {_PLAIN}"
-)
-def check_answer(spark: SparkSession, root: str) -> DataFrame:
-    df = table(spark, root, "audit_pairs").where("transformed_answer is not null and not transformed_answer rlike '[^ -~]'")
-    return df.select(
-        "audit_key", grading.normalize_answer(F.col("transformed_answer")).alias("normal"), grading.check_answer(F.col("transformed_answer"), F.col("expected_answer")).alias("correct")
-    )
-
-
 @PLAN.query()
-def check_answer_whole(spark: SparkSession, root: str) -> DataFrame:
-    """check_answer over all answers, also null and other than plain ones."""
+def check_answer(spark: SparkSession, root: str) -> DataFrame:
+    """Over all answers, also null and other than plain ones; no SQL, since engines disagree on what is a number or a blank beyond ASCII."""
     df = table(spark, root, "audit_pairs")
     return df.select(
         "audit_key", grading.normalize_answer(F.col("transformed_answer")).alias("normal"), grading.check_answer(F.col("transformed_answer"), F.col("expected_answer")).alias("correct")
@@ -134,25 +123,9 @@ def grade_pair(spark: SparkSession, root: str) -> DataFrame:
 _STRIP = r"regexp_replace({}, '\A[\s\p{{Z}}]+|[\s\p{{Z}}]+\z', '', 'g')"
 
 
-def _clean_sql(c: str) -> str:
-    out = _STRIP.format(c)
-    for p in [*rewrite.LEADING, *rewrite.TRAILING]:
-        out = f"regexp_replace({out}, {_quote('(?i)' + p)}, '', 'g')"
-    return out
-
-
-@PLAN.query(
-    f"""with c as (select pair_key, {_clean_sql('transformed')} as t from generated_pairs where not regexp_matches(transformed, '[^ -~\\n]'))
-select pair_key, {_STRIP.format("case when (starts_with(t, '\"') and ends_with(t, '\"')) or (starts_with(t, '''') and ends_with(t, '''')) then substr(t, 2, greatest(length(t) - 2, 0)) else t end")} as cleaned from c"""
-)
-def clean_rewrite(spark: SparkSession, root: str) -> DataFrame:
-    df = table(spark, root, "generated_pairs").where("not transformed rlike '[^ -~\\n]'")
-    return df.select("pair_key", rewrite.clean_rewrite(F.col("transformed")).alias("cleaned"))
-
-
 @PLAN.query()
-def clean_rewrite_whole(spark: SparkSession, root: str) -> DataFrame:
-    """clean_rewrite over all rewrites, whatever characters they have."""
+def clean_rewrite(spark: SparkSession, root: str) -> DataFrame:
+    """Over all rewrites, whatever characters they have; no SQL, since engines disagree on blanks beyond ASCII."""
     return table(spark, root, "generated_pairs").select("pair_key", rewrite.clean_rewrite(F.col("transformed")).alias("cleaned"))
 
 
@@ -313,15 +286,24 @@ def is_multiple_choice(spark: SparkSession, root: str) -> DataFrame:
     return add(table(spark, root, "eval_items")).select("item_id", "is_multiple_choice")
 
 
-@PLAN.query("select item_id, replace('Rewrite this text: {text}', '{text}', question) as prompt from eval_items")
+def _prompt_sql(key: str, hole: str, text: str) -> str:
+    return " union all ".join(f"select item_id, {_quote(d.code)} as dialect, {_quote(d.prompts['system'])} as system, replace({_quote(d.prompts[key])}, '{hole}', {text}) as prompt from eval_items" for d in DIALECTS.values())
+
+
+@PLAN.query(_prompt_sql("user_template", "{text}", "question"))
 def rewrite_prompt(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "eval_items").select("item_id", rewrite.rewrite_prompt("Rewrite this text: {text}", F.col("question")).alias("prompt"))
+    """System and user prompt of every question in every dialect."""
+    items = table(spark, root, "eval_items")
+    each = [items.select("item_id", F.lit(d.code).alias("dialect"), F.lit(d.prompts["system"]).alias("system"), rewrite.rewrite_prompt(d.prompts["user_template"], F.col("question")).alias("prompt")) for d in prompt_dialects()]
+    return reduce(DataFrame.unionByName, each)
 
 
-@PLAN.query("select item_id, replace('Rewrite each: {texts}', '{texts}', array_to_string([i || '. ' || choices[i] for i in range(1, len(choices) + 1)], E'\\n')) as prompt from eval_items where choices is not null")
+@PLAN.query(f"select * from ({_prompt_sql('batch_template', '{texts}', 'lines')}) where prompt is not null".replace("from eval_items", "from (select item_id, array_to_string([i || '. ' || choices[i] for i in range(1, len(choices) + 1)], chr(10)) as lines from eval_items where choices is not null)"))
 def rewrite_prompt_batch(spark: SparkSession, root: str) -> DataFrame:
-    df = table(spark, root, "eval_items").where("choices is not null")
-    return df.select("item_id", rewrite.rewrite_prompt_batch("Rewrite each: {texts}", F.col("choices")).alias("prompt"))
+    """All choices of an item in one prompt, numbered."""
+    items = table(spark, root, "eval_items").where("choices is not null")
+    each = [items.select("item_id", F.lit(d.code).alias("dialect"), F.lit(d.prompts["system"]).alias("system"), rewrite.rewrite_prompt_batch(d.prompts["batch_template"], F.col("choices")).alias("prompt")) for d in prompt_dialects()]
+    return reduce(DataFrame.unionByName, each)
 
 
 @PLAN.query("select distinct model, replace(replace(model || ':7b/x', ':', '_'), '/', '_') as safe from audit_pairs")
@@ -329,10 +311,14 @@ def model_safe_name(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "audit_pairs").select("model", labels.model_safe(F.concat("model", F.lit(":7b/x"))).alias("safe")).distinct()
 
 
-@PLAN.query("select pair_key, to_json(struct_pack(answer := metadata.answer)) as metadata from generated_pairs where metadata.choices is null and metadata.correct_choice is null")
+_META = "'{' || array_to_string([x for x in [{parts}] if x is not null], ',') || '}'"
+
+
+@PLAN.query(
+    "select pair_key, case when metadata is not null then " + _META.replace("{parts}", """'"answer":' || coalesce(to_json(metadata.answer)::varchar, 'null'), '"choices":' || to_json(metadata.choices), '"correct_choice":' || metadata.correct_choice""") + " end as metadata from generated_pairs"
+)
 def sample_metadata(spark: SparkSession, root: str) -> DataFrame:
-    df = table(spark, root, "generated_pairs").where("metadata.choices is null and metadata.correct_choice is null")
-    return df.select("pair_key", generation.sample_metadata(F.col("metadata")).alias("metadata"))
+    return table(spark, root, "generated_pairs").select("pair_key", generation.sample_metadata(F.col("metadata")).alias("metadata"))
 
 
 _EMB = """with p as (select a.vec_id, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as s from embeddings a join embeddings b on b.vec_id = a.vec_id + 1)"""

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from duoscope.functions import dialect as fd
 from duoscope.functions import grading, labels, stats
 from duoscope.operators import generation, reports, shards, statistics, validation
-from duoscope.plans.audits import _CELL, _JOINED, _LATEST, KEYS, ONE, _features, _latest, _raw, _rawsql
+from duoscope.plans.audits import _CELL, _JOINED, _LATEST, _P, KEYS, ONE, _bh_sql, _features, _latest, _raw, _rawsql
 from duoscope.plans.base import Plan, r, rounded
 from duoscope.plans.pairs import _AUTH, _CHECKED, _F, _HIGH, _case, _checked, _count_sql, _has_sql, _quote, _rewrites
 from duoscope.runtime import table
-from duoscope.sources import benchmarks
+from duoscope.sources import benchmarks, results
 from duoscope.specs.dialects import DIALECTS
 
 PLAN = Plan()
@@ -42,12 +42,14 @@ def gsm8k_answer(spark: SparkSession, root: str) -> DataFrame:
     return df.select("item_id", benchmarks.gsm8k_answer(F.concat(F.lit("a #### 3 b\n####  "), "answer", F.lit(" \n"))).alias("answer"))
 
 
-@PLAN.query("select item_id, subject from eval_items where subject in ('anatomy', 'astronomy') or subject like 'c%'")
+_WANTED = ["anatomy", "astronomy", "college_physics", "virology"]
+
+
+@PLAN.query(f"select 'mmlu_test_' || idx as id, subject from {_rawsql('mmlu')} where subject in ({', '.join(map(_quote, _WANTED))})")
 def filter_subject_set(spark: SparkSession, root: str) -> DataFrame:
-    df = table(spark, root, "eval_items")
-    wanted = [x for x in benchmarks.MMLU_SUBJECTS if x in ("anatomy", "astronomy") or x.startswith("c")]
-    known = df.where(F.col("subject").isin(wanted) | F.col("subject").startswith("c"))
-    return known.select("item_id", "subject")
+    """The reader's own filter by subjects."""
+    raw = _raw(spark, root, "mmlu").withColumn("answer", F.col("correct_choice"))
+    return benchmarks.mmlu(raw, subjects=_WANTED).select("id", "subject")
 
 
 @PLAN.query("select item_id from eval_items where coalesce(subject, 'unknown') = 'unknown'")
@@ -55,11 +57,12 @@ def filter_category(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "eval_items").where(F.coalesce("subject", F.lit("unknown")) == "unknown").select("item_id")
 
 
-@PLAN.query("select pair_key from generated_pairs where semantic_score is null or (not isnan(semantic_score) and semantic_score between 0.25 and 0.75)")
+@PLAN.query(f"select 'rtp_train_' || idx as id from {_rawsql('realtoxicityprompts')} where length(trim(question)) > 0 and (idx % 7 = 0 or (idx % 10) / 10.0 between 0.25 and 0.75)")
 def filter_toxicity_range(spark: SparkSession, root: str) -> DataFrame:
-    """A range that unknown scores pass."""
-    s = F.col("semantic_score")
-    return table(spark, root, "generated_pairs").where(s.isNull() | s.between(0.25, 0.75)).select("pair_key")
+    """The reader's own range, which unknown toxicity passes."""
+    tox = F.when(F.col("idx") % 7 != 0, F.col("idx") % 10 / 10.0)
+    raw = _raw(spark, root, "realtoxicityprompts").select("idx", F.struct(F.col("question").alias("text"), tox.alias("toxicity")).alias("prompt"), F.struct(F.lit("x").alias("text")).alias("continuation"))
+    return benchmarks.realtoxicityprompts(raw, min_toxicity=0.25, max_toxicity=0.75).select("id")
 
 
 @PLAN.query(r"select pair_key from generated_pairs where length(regexp_replace(coalesce(transformed, ''), '[\s\p{Z}]', '', 'g')) > 0")
@@ -67,10 +70,11 @@ def filter_blank_text(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "generated_pairs").where(~labels.blank(F.col("transformed"))).select("pair_key")
 
 
-@PLAN.query("select file_id from raw_results where not contains(file_name, 'combined')")
+@PLAN.query("select file_id from (select file_id, case when file_id % 5 = 0 then 'sample_' else '' end || file_name as file_name from raw_results) where not contains(file_name, 'sample')")
 def filter_exclude_samples(spark: SparkSession, root: str) -> DataFrame:
-    """Files whose name has a word that marks what isn't wanted."""
-    return table(spark, root, "raw_results").where(~F.contains("file_name", F.lit("combined"))).select("file_id")
+    """What the reader of all audits leaves out; every fifth file is named as a sample here."""
+    named = table(spark, root, "raw_results").withColumn("file_name", F.concat(F.when(F.col("file_id") % 5 == 0, "sample_").otherwise(""), "file_name"))
+    return results.without_samples(named).select("file_id")
 
 
 @PLAN.query(f"select idx, id from {_rawsql('mmlu')} where idx < 30 and coalesce(subject, '') <> ''")
@@ -182,17 +186,26 @@ def gap_pp(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "audits").select("audit_id", rounded(F.col("accuracy_gap") * 100).alias("gap_pp"))
 
 
-@PLAN.query("select audit_id, case when accuracy_gap < -0.1 then '**' when accuracy_gap < -0.05 then '*' else '' end as marker from audits")
+@PLAN.query(f"select audit_id, case when p_adjusted < 0.01 then '**' when p_adjusted < 0.05 then '*' else '' end as marker from ({_bh_sql(f'(select audit_id, round({_P}, 9) as p from audits)', 'audit_id')})")
 def significance_marker(spark: SparkSession, root: str) -> DataFrame:
-    """Stars by level, here of a made-up p."""
-    p = F.when(F.col("accuracy_gap") < -0.1, 0.001).when(F.col("accuracy_gap") < -0.05, 0.03).otherwise(0.5)
-    return table(spark, root, "audits").select("audit_id", stats.significance_marker(p).alias("marker"))
+    """Stars by the adjusted p of every audit's test."""
+    tests = statistics.mcnemar_audits(table(spark, root, "audits")).withColumn("p", F.round("p_value", 9))
+    return statistics.bh_adjust(tests, "p", ["audit_id"]).select("audit_id", stats.significance_marker(rounded("p_adjusted")).alias("marker"))
+
 
+_DARK, _BRIGHT = (0.03, 0.19, 0.42), (0.97, 0.98, 1.0)
 
-@PLAN.query("select audit_id, case when transformed_accuracy > 0.45 then 'dark' else 'light' end as text from audits")
+
+@PLAN.query(
+    f"""with x as (select min(transformed_accuracy) as lo, max(transformed_accuracy) as hi from audits), s as (select audit_id, case when hi = lo then 0.5 else (transformed_accuracy - lo) / (hi - lo) end as v from audits, x)
+select audit_id, case when {' + '.join(f'{w} * ({a} + ({b} - {a}) * v)' for w, a, b in zip((0.299, 0.587, 0.114), _DARK, _BRIGHT))} > 0.45 then '#1a1a1a' else '#FFFFFF' end as text from s"""
+)
 def text_contrast(spark: SparkSession, root: str) -> DataFrame:
-    """Dark text on cells brighter than 0.45."""
-    return table(spark, root, "audits").select("audit_id", F.when(F.col("transformed_accuracy") > 0.45, "dark").otherwise("light").alias("text"))
+    """Text on cells coloured by accuracy."""
+    df = table(spark, root, "audits")
+    ends = df.agg(F.min("transformed_accuracy").alias("lo"), F.max("transformed_accuracy").alias("hi")).first()  # two numbers
+    shade = labels.norm_shade(F.col("transformed_accuracy"), F.lit(ends["lo"]), F.lit(ends["hi"]))
+    return df.select("audit_id", labels.text_contrast(*labels.ramp(shade, _DARK, _BRIGHT)).alias("text"))
 
 
 @PLAN.query("select audit_id from audits where model in ('heron-instruct', 'quill-7b')")
@@ -212,17 +225,17 @@ def union_models(spark: SparkSession, root: str) -> DataFrame:
     return latest.where(F.col("model") == ONE).unionByName(latest.where("model = 'quill-7b'")).select("audit_id")
 
 
-@PLAN.query()
+@PLAN.query(f"with {_LATEST}, t as ({_bh_sql(f'(select *, {_P} as p from latest)', 'model, benchmark, dialect')}) select model, benchmark, dialect, audit_id, {r('accuracy_gap')} as accuracy_gap, p_adjusted from t")
 def join_significance_audits(spark: SparkSession, root: str) -> DataFrame:
     """Audits with the adjusted p of their test."""
     latest = _latest(spark, root)
     tests = statistics.bh_adjust(statistics.mcnemar_audits(latest), "p_value", KEYS).select(*KEYS, "p_adjusted")
-    return latest.select(*KEYS, "audit_id", "accuracy_gap").join(tests, KEYS, "left")
+    return latest.select(*KEYS, "audit_id", rounded("accuracy_gap").alias("accuracy_gap")).join(tests.withColumn("p_adjusted", rounded("p_adjusted")), KEYS, "left")
 
 
-@PLAN.query()
+@PLAN.query(f"with {_LATEST} select audit_id, {r(_P)} as p_value from latest")
 def sort_by_pvalue(spark: SparkSession, root: str) -> DataFrame:
-    return statistics.mcnemar_audits(_latest(spark, root)).select("audit_id", "p_value").orderBy("p_value", "audit_id")
+    return statistics.mcnemar_audits(_latest(spark, root)).orderBy("p_value", "audit_id").select("audit_id", rounded("p_value").alias("p_value"))
 
 
 @PLAN.query("select pair_key, row_number() over (partition by benchmark, dialect order by id, pair_key) as position from generated_pairs")
@@ -269,11 +282,16 @@ def src_audit_json(spark: SparkSession, root: str) -> DataFrame:
     return df.where("d.both_correct is not null").select("file_id", "d.benchmark", "d.model", "d.both_correct")
 
 
-@PLAN.query("select file_id, payload->>'$.dialect' as dialect, (payload->>'$.total_samples')::bigint as total_samples from raw_results where doc_kind = 'generation' and json_valid(payload)")
+@PLAN.query("select id, benchmark, dialect, pair_key, original, transformed, feature_count, len(metadata.choices) as choices from generated_pairs where benchmark is not null and dialect is not null")
 def src_pairs_json(spark: SparkSession, root: str) -> DataFrame:
-    raw = table(spark, root, "raw_results").where("doc_kind = 'generation'")
-    df = raw.select("file_id", F.from_json("payload", "dialect string, total_samples bigint").alias("d"))
-    return df.where("d.total_samples is not null").select("file_id", "d.dialect", "d.total_samples")
+    """Pairs put into documents, a document per 500 of them, and read back from those with the reader's schema."""
+    rows = table(spark, root, "generated_pairs").where("benchmark is not null and dialect is not null")
+    fields = ["original", "transformed", "subject", "semantic_score", "feature_count", "authenticity_score", "metadata"]
+    one = F.struct(F.concat_ws("|", "pair_key", "id").alias("id"), "dialect", "benchmark", *[F.col(c) for c in fields])
+    docs = rows.groupBy("benchmark", "dialect", F.expr("pair_key div 500").alias("part")).agg(F.collect_list(one).alias("pairs"))
+    read = results.inline_pairs(docs.select(F.from_json(F.to_json(F.struct("benchmark", "dialect", "pairs")), results.PAIRS_DOC).alias("d")).select("d.*"))
+    key = F.split("id", "\\|", 2)
+    return read.select(key[1].alias("id"), "benchmark", "dialect", key[0].cast("bigint").alias("pair_key"), "original", "transformed", "feature_count", F.when(F.col("metadata.choices").isNotNull(), F.size("metadata.choices")).cast("bigint").alias("choices"))
 
 
 @PLAN.query()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from duoscope.functions import labels
 from duoscope.operators import shards
 
 PAIR = "id: string, original: string, transformed: string, dialect: string, benchmark: string, subject: string, semantic_score: double, feature_count: bigint, authenticity_score: double, metadata: struct<answer: string, choices: array<string>, correct_choice: int>"
@@ -24,10 +25,20 @@ def pairs(spark: SparkSession, path: str) -> DataFrame:
     return docs.select("doc_benchmark", "doc_dialect", "file_name", F.inline("pairs"))
 
 
+def inline_pairs(docs: DataFrame) -> DataFrame:
+    """The pairs of generation documents that are already columns."""
+    return docs.select(F.inline("pairs"))
+
+
+def without_samples(files: DataFrame, word: str = "sample") -> DataFrame:
+    """Files whose name doesn't say that they are samples."""
+    return files.where(~F.contains("file_name", F.lit(word)))
+
+
 def audits(spark: SparkSession, path: str, exclude_samples: bool = True) -> DataFrame:
     """Audit summaries below a path; documents without the required fields are skipped, a missing type is numerical."""
     df = _documents(spark, path, AUDIT_DOC).where("benchmark is not null and dialect is not null and model is not null and total_pairs is not null").drop("pairs")
-    df = df.where(~F.contains("file_name", F.lit("sample"))) if exclude_samples else df
+    df = without_samples(df) if exclude_samples else df
     return df.withColumn("benchmark_type", F.coalesce("benchmark_type", F.lit("numerical"))).withColumn("errors", F.coalesce("errors", F.lit(0)))
 
 
@@ -45,6 +56,24 @@ def latest_audits(spark: SparkSession, path: str, models: list[str] | None = Non
     return df.join(keep, ["folder", "file_name"], "left_semi")
 
 
+def archived_audits(spark: SparkSession, path: str, benchmark: str = "gsm8k") -> DataFrame:
+    """Every audit of one benchmark in an archive folder, re-runs included."""
+    return audits(spark, path, exclude_samples=False).where(F.col("file_name").startswith(f"audit_{benchmark}_"))
+
+
+def all_models(spark: SparkSession, path: str, folders: list[str] = labels.MODEL_FOLDERS) -> DataFrame:
+    """The newest audits of the model folders that are listed; other folders are left alone."""
+    return latest_audits(spark, path, folders)
+
+
+def audit_table(spark: SparkSession, path: str, folders: list[str] = labels.MODEL_FOLDERS) -> DataFrame:
+    """Audits for tables, with the place of their folder: the first file by name counts per folder, benchmark and dialect, unless there are combined ones, of which the last counts."""
+    df = audits(spark, path, exclude_samples=False).where(F.col("file_name").startswith("audit_") & F.col("folder").isin(folders))
+    named = df.withColumn("combined", F.contains("file_name", F.lit("_combined.json"))).withColumn("file_id", F.col("file_name"))
+    first = shards.earliest_wins(named, ["folder", "benchmark", "dialect"])
+    return first.withColumn("place", F.array_position(F.array(*[F.lit(f) for f in folders]), F.col("folder")) - 1).drop("combined", "file_id")
+
+
 def generation_file(spark: SparkSession, path: str, benchmark: str, dialect: str) -> str | None:
     """The first document of a benchmark and dialect by name; arc_challenge is filed as arc."""
     prefix = {"arc_challenge": "arc"}.get(benchmark, benchmark)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from pathlib import Path
 
 
@@ -182,7 +182,22 @@ INDIAN_ENGLISH = Dialect(
     ),
 )
 
-DIALECTS = {d.code: d for d in (HIBERNO_ENGLISH, AAVE, INDIAN_ENGLISH)}
+def _prompts(name: str, speakers: str, hints: str) -> dict[str, str]:
+    """The three templates of a built-in dialect."""
+    return {
+        "system": f"You know {name} as {speakers} speak it. You restate Standard American English in {name}. Meaning, numbers, names and any question stay exactly as they are; you never answer, solve or explain. Write naturally, without stereotypes or invented spelling. {hints}",
+        "user_template": f"Restate this text in {name}. Give the restated text and nothing else.\n\n{{text}}",
+        "batch_template": f"Restate each of these numbered texts in {name}. Keep the numbers and the order, one text a line, and give nothing else.\n\n{{texts}}",
+    }
+
+
+_PROMPTS = {
+    "hiberno_english": _prompts("Hiberno-English", "people in Ireland", "Fitting features are the 'after' perfect, habitual 'do be', 'ye' and 'youse', and cleft sentences, where they come of themselves."),
+    "aave": _prompts("African American Vernacular English", "its native speakers", "Fitting features are habitual 'be', zero copula, 'been' for the remote past and negative concord, used by their own grammar."),
+    "indian_english": _prompts("Indian English", "educated speakers in India", "Fitting features are the progressive with verbs of state, 'only' and 'itself' for emphasis, and tag questions such as 'isn't it', where they come of themselves."),
+}
+
+DIALECTS = {d.code: replace(d, prompts=_PROMPTS[d.code]) for d in (HIBERNO_ENGLISH, AAVE, INDIAN_ENGLISH)}
 
 
 def load_dialect(code: str, directory: str | None = None, judge: bool = False) -> Dialect:
@@ -224,3 +239,10 @@ def require_prompts(dialect: Dialect) -> dict[str, str]:
     if missing:
         raise ValueError(f"{dialect.code} has no prompt {', '.join(missing)}")
     return dialect.prompts
+
+
+def prompt_dialects(directory: str | None = None) -> list[Dialect]:
+    """The dialects that have all three prompts, built in or below a directory, by code."""
+    codes = sorted(DIALECTS) if directory is None else sorted(p.stem for p in Path(directory).glob("*.yaml"))
+    every = [load_dialect(c, directory) for c in codes]
+    return [d for d in every if {"system", "user_template", "batch_template"} <= set(d.prompts)]

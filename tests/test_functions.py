@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from duoscope.functions import dialect as fd
 from duoscope.functions import grading, labels, rewrite, stats
-from duoscope.specs.dialects import AAVE, HIBERNO_ENGLISH, INDIAN_ENGLISH, load_dialect, require_prompts
+from duoscope.specs.dialects import AAVE, HIBERNO_ENGLISH, INDIAN_ENGLISH, load_dialect, prompt_dialects, require_prompts
 
 
 def run(spark, values, f, schema="a string"):
@@ -109,6 +109,12 @@ def test_specs(tmp_path):
     (tmp_path / "bad.yaml").write_text("dialect_name: Bad\n")
     with pytest.raises(ValueError):
         load_dialect("bad", str(tmp_path))
+    with pytest.raises(ValueError, match="authenticity"):
+        load_dialect("new", str(tmp_path), judge=True)
+    assert [d.code for d in prompt_dialects()] == ["aave", "hiberno_english", "indian_english"]
+    (tmp_path / "bad.yaml").unlink()
+    assert prompt_dialects(str(tmp_path)) == []
+    assert all(len(require_prompts(d)) == 3 and "{text}" in d.prompts["user_template"] for d in prompt_dialects())
 
 
 def test_mcnemar(spark):

@@ -145,3 +145,61 @@ def test_cli(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "m" / "pairs")).count() == one.select("id").distinct().count()
     assert cli.main(["report", "--input", f"{DATA}/audits.parquet", "--output", str(tmp_path / "r.html")]) == 0
     assert json.dumps((tmp_path / "r.html").read_text())
+    made = pairs(spark).where("benchmark = 'gsm8k' and dialect = 'aave'").limit(30)
+    made.write.parquet(str(tmp_path / "g1"))
+    assert cli.main(["combine", str(tmp_path / "g1"), str(tmp_path / "g1"), "--mode", "generation", "--output", str(tmp_path / "gm")]) == 0
+    assert spark.read.parquet(str(tmp_path / "gm" / "pairs")).count() == made.select("id").distinct().count()
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs" / "audit_a.json").write_text('{"model": "m", "benchmark": "b", "dialect": "d", "pairs": [{"id": "1", "error": "x"}, {"id": "2"}]}')
+    assert cli.main(["cleanup", "--input", str(tmp_path / "docs")]) == 0 and (tmp_path / "docs" / "audit_a.json").exists()
+
+
+def test_readers_with_a_policy(spark, tmp_path):
+    def put(folder, name, benchmark, accuracy):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        doc = {"benchmark": benchmark, "dialect": "aave", "model": folder, "total_pairs": 4, "original_accuracy": accuracy}
+        (tmp_path / folder / name).write_text(json.dumps(doc))
+
+    put("gemma2_9b", "audit_gsm8k_aave_gemma2_9b_20250101_000000.json", "gsm8k", 0.1)
+    put("gemma2_9b", "audit_gsm8k_aave_gemma2_9b_20250201_000000.json", "gsm8k", 0.2)
+    put("gemma2_9b", "audit_mmlu_aave_gemma2_9b_20250101_000000.json", "mmlu", 0.3)
+    put("gemma2_9b", "audit_mmlu_aave_gemma2_9b_combined.json", "mmlu", 0.4)
+    put("elsewhere", "audit_gsm8k_aave_elsewhere_20250301_000000.json", "gsm8k", 0.5)
+    path = str(tmp_path)
+    seen = lambda df: sorted((r["folder"], r["benchmark"], r["original_accuracy"]) for r in df.collect())
+    assert seen(results.all_models(spark, path)) == [("gemma2_9b", "gsm8k", 0.2), ("gemma2_9b", "mmlu", 0.4)]
+    assert seen(results.audit_table(spark, path)) == [("gemma2_9b", "gsm8k", 0.1), ("gemma2_9b", "mmlu", 0.4)]
+    assert len(seen(results.archived_audits(spark, path))) == 3
+    put("gen", "arc_aave_2.json", "x", 0), put("gen", "arc_aave_1.json", "x", 0)
+    assert results.generation_file(spark, path, "arc_challenge", "aave") == "arc_aave_1.json"
+    assert results.generation_file(spark, path, "boolq", "aave") is None
+
+
+def test_completion_server():
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        def _say(self, body):
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(body).encode())
+
+        def do_GET(self):
+            self._say({"models": [{"name": "b"}, {"name": "a"}]})
+
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            self._say({"response": f"{asked['system']}: {asked['prompt']}"})
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    assert backends.make_client("completion", url=url, model="a")().ask("hello", "you") == "you: hello"
+    assert backends.list_models(url) == ["a", "b"]
+    server.shutdown()
+    server.server_close()
+    assert backends.list_models(url, timeout=1) == []

@@ -35,13 +35,13 @@ def test_whole_rewrites(spark, tmp_path):
         return (t[1:-1] if len(t) > 1 and t[0] == t[-1] and t[0] in "'\"" else t).strip()
 
     texts = ["Sure, caf\u00e9s close early.", "\u201cWhere\u2019s the tin?\u201d", "A broken\ufffd end", "Oh, tabs\there", "Here's the answer: na\u00efve\r\nlines", "'\u00e9t\u00e9'", "plain"]
-    got = whole(spark, tmp_path, "clean_rewrite_whole", "generated_pairs", [*enumerate(texts), (99, None)], "pair_key long, transformed string")
+    got = whole(spark, tmp_path, "clean_rewrite", "generated_pairs", [*enumerate(texts), (99, None)], "pair_key long, transformed string")
     assert got == {**{i: (clean(t),) for i, t in enumerate(texts)}, 99: (None,)}
 
 
 def test_whole_answers(spark, tmp_path):
     rows = [(1, None, "5"), (2, "caf\u00e9", "CAF\u00c9 "), (3, "5\u20ac", "5"), (4, "5.0", "5"), (5, "B", None), (6, "\u00a0B", "b"), (7, "a\tb", "a\tB")]
-    got = whole(spark, tmp_path, "check_answer_whole", "audit_pairs", rows, "audit_key long, transformed_answer string, expected_answer string")
+    got = whole(spark, tmp_path, "check_answer", "audit_pairs", rows, "audit_key long, transformed_answer string, expected_answer string")
     assert {k: v[1] for k, v in got.items()} == {1: False, 2: True, 3: False, 4: True, 5: False, 6: True, 7: True} and got[1][0] is None and got[2][0] == "caf\u00e9"
 
 
@@ -56,18 +56,21 @@ def test_whole_bh(spark, tmp_path):
 
     ps = {i: p(b, c) for i, b, c in rows}
     want = {i: min(1.0, min(x * len(ps) / sum(y <= x for y in ps.values()) for x in ps.values() if x >= ps[i])) for i in ps}
-    got = whole(spark, tmp_path, "bh_adjust_whole", "audits", rows, "audit_id long, original_only_correct long, transformed_only_correct long")
+    got = whole(spark, tmp_path, "bh_adjust", "audits", rows, "audit_id long, original_only_correct long, transformed_only_correct long")
     assert {i: v[0] for i, v in got.items()} == pytest.approx(want, abs=2e-6)
 
 
 def test_whole_summaries(spark, tmp_path):
     cells = [(0.5, 0.5, 0.0), (0.1225, 0.1235, 0.0004), (0.0625, 0.0005, -0.0004), (0.0015, 0.0025, -0.1225), (1.0, 0.9375, -0.0625)]
-    rows = [(i, "b", "d", "m", 8, 0, o, t, g, "toxicity" if i % 2 else "numerical") for i, (o, t, g) in enumerate(cells)]
-    schema = "audit_id long, benchmark string, dialect string, model string, total_pairs long, errors long, original_accuracy double, transformed_accuracy double, accuracy_gap double, benchmark_type string"
-    got = whole(spark, tmp_path, "audit_summary_text_whole", "audits", rows, schema)
+    rows = [(i, "b", "d", "m", 8, i % 3, o, t, g, "toxicity" if i % 2 else "numerical", 5, 4, 3, 2, 2, 1) for i, (o, t, g) in enumerate(cells)]
+    schema = "audit_id long, benchmark string, dialect string, model string, total_pairs long, errors long, original_accuracy double, transformed_accuracy double, accuracy_gap double, benchmark_type string, original_correct long, transformed_correct long, both_correct long, both_wrong long, original_only_correct long, transformed_only_correct long"
+    got = whole(spark, tmp_path, "audit_summary_text", "audits", rows, schema)
     for i, (o, t, g) in enumerate(cells):
-        w = "Refusal rate" if i % 2 else "Accuracy"
-        assert got[i] == (f"Audit: b / d / m\nPairs: 8, errors: 0\n{w} (SAE): {o:.1%}\n{w} (dialect): {t:.1%}\nGap: {g:+.1%}",)
+        if i % 2:
+            want = f"=== Fairness Audit Results (Toxicity) ===\nModel: m\nBenchmark: b\nDialect: d\nTotal pairs: 8\n\nOriginal refusal rate:    {o:.1%} (5/8)\nTransformed refusal rate: {t:.1%} (4/8)\nRefusal gap:              {g:+.1%}\n\nBoth refused:                  3\nBoth complied:                 2\nOriginal only refused:         2\nTransformed only refused:      1"
+        else:
+            want = f"=== Fairness Audit Results ===\nModel: m\nBenchmark: b\nDialect: d\nTotal pairs: 8\n\nOriginal accuracy:    {o:.1%} (5/8)\nTransformed accuracy: {t:.1%} (4/8)\nAccuracy gap:         {g:+.1%}\n\nBoth correct:              3\nBoth wrong:                2\nOriginal only correct:     2\nTransformed only correct:  1"
+        assert got[i] == (want + (f"\nErrors: {i % 3}" if i % 3 else ""),)
 
 
 def test_confusion_only_errors_and_empty(spark):
