@@ -8,10 +8,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duoscope.functions import labels
-from duoscope.operators import reports
+from duoscope.operators import reports, statistics
 
-#: Rows of the result table a page shows; the tables themselves are written in full elsewhere.
-ROWS = 2_000
+
+
+def charts(audits: DataFrame, rows: DataFrame, primary: str, second: str) -> dict[str, DataFrame]:
+    """The data of every chart, each as a DataFrame.
+
+    ``audits``: the newest audits of all models; ``rows``: graded pairs with
+    ``features``, their feature counts; ``primary``: the model of the
+    single-model charts, ``second`` the one it is compared with.
+    """
+    keys = ["model", "benchmark", "dialect"]
+    one = audits.where(F.col("model") == primary)
+    points = one.withColumn("gap_pp", F.col("accuracy_gap") * 100)
+    tests = statistics.bh_adjust(statistics.mcnemar_audits(audits), "p_value", keys)
+    toxic = one.where(F.col("benchmark").isin(labels.TOXICITY_BENCHMARKS))
+    both = audits.where(F.col("model").isin(primary, second) & (F.col("benchmark") == "gsm8k"))
+    return {
+        "accuracy_by_model": reports.benchmark_table(audits, labels.ACCURACY_BENCHMARKS),
+        "toxicity_by_model": reports.benchmark_table(audits, labels.TOXICITY_BENCHMARKS, None, None),
+        "significance": reports.significance_grid(audits, tests),
+        "accuracy_gaps": reports.pivot(points, "dialect", "benchmark", labels.ACCURACY_BENCHMARKS, "gap_pp"),
+        "toxicity_gaps": reports.pivot(points, "dialect", "benchmark", labels.TOXICITY_BENCHMARKS, "gap_pp"),
+        "accuracy_pairs": one.where(F.col("benchmark").isin(labels.ACCURACY_BENCHMARKS)).select("benchmark", "dialect", "original_accuracy", "transformed_accuracy").orderBy("benchmark", "dialect"),
+        "dialects": reports.means(one.where(F.col("benchmark").isin(labels.ACCURACY_BENCHMARKS)), ["dialect"]),
+        "refusals": toxic.select("benchmark", "dialect", "original_accuracy", "transformed_accuracy").orderBy("benchmark", "dialect"),
+        "two_models": both.select("model", "dialect", "original_accuracy", "transformed_accuracy", "accuracy_gap").orderBy("model", "dialect"),
+        "bias": reports.bias_by_class(one),
+        "features_at_least": reports.suppress_small(reports.threshold_stats(rows)),
+        "features_in_ranges": reports.range_stats(rows),
+        "features_in_ranges_by_model": reports.range_stats(rows, ["model"]),
+        "features_in_ranges_by_dialect": reports.range_stats(rows, ["dialect"]),
+    }
 
 
 def tables(audits: DataFrame) -> dict[str, DataFrame]:
@@ -49,5 +78,5 @@ def html(audits: DataFrame, title: str = "Dialect audit") -> str:
     named = ", ".join(r["benchmark_label"] for r in worst[:3]) or "none"
     found = f"{dims['b']} benchmarks and {dims['d']} dialects; the largest degradation is on {named}."
     parts = [f"<h1>{escape(title)}</h1>", "<ul>" + "".join(f"<li>{escape(k)}: <b>{escape(str(v))}</b></li>" for k, v in cards) + "</ul>", f"<p>{escape(found)}</p>"]
-    parts += ["<h2>Largest gaps</h2>", _table(head, [line(r) for r in worst]), "<h2>All results</h2>", _table(head, [line(r) for r in t["results"].limit(ROWS).collect()])]
+    parts += ["<h2>Largest gaps</h2>", _table(head, [line(r) for r in worst]), "<h2>All results</h2>", _table(head, [line(r) for r in t["results"].toLocalIterator()])]
     return f"<!doctype html><html><head><meta charset='utf-8'><title>{escape(title)}</title></head><body>{''.join(parts)}</body></html>"

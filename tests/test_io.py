@@ -64,6 +64,18 @@ def test_report(spark):
     assert "<h1>" in report.html(spark.read.parquet(f"{DATA}/audits.parquet").limit(0))
 
 
+def test_chart_data(spark):
+    from duoscope.plans import audits as plans
+
+    newest, rows = plans._latest(spark, DATA), plans._features(spark, DATA)
+    models = [r["model"] for r in newest.select("model").distinct().orderBy("model").collect()]
+    made = {k: v.count() for k, v in report.charts(newest, rows, models[0], models[1]).items()}
+    assert len(made) == 14 and min(made.values()) > 0
+    assert made["features_in_ranges"] == 4 and made["features_in_ranges_by_model"] == 4 * rows.select("model").distinct().count()
+    empty = report.charts(newest.limit(0), rows.limit(0), "x", "y")
+    assert all(v.count() <= 4 for v in empty.values())
+
+
 def failing():
     class Failing:
         def ask(self, prompt, system=None):
