@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duoscope.llm.tokens import SHARE, Words, count_words, mix
+from duoscope.llm.tokens import SHARE, Words, bounded, count_words, mix
 from duoscope.llm.truncation import _is_answer, _is_closed
 from duoscope.runtime import materialize
 
@@ -529,7 +529,7 @@ def classify(audits: DataFrame, limit: int = TRAIN_ROWS) -> DataFrame:
         m, voc = shared.value
         feats = Features(voc)
         text = lambda s: [x if isinstance(x, str) else None for x in s]
-        for whole in batches:
+        for whole in bounded(batches, ["original_prompt", "transformed_prompt", "original_response", "transformed_response", "transformed_answer"]):
             for at in range(0, len(whole), 2_000):
                 pdf = whole.iloc[at : at + 2_000]
                 errors = [isinstance(x, str) and x != "" for x in pdf["error"]]

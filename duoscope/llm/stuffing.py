@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from duoscope.llm.tokens import Words
+from duoscope.llm.tokens import Words, bounded
 from duoscope.runtime import materialize
 
 #: Share of all pages, and least number of them, from which a line is a menu entry, notice or footer.
@@ -100,7 +100,7 @@ def _read_bodies(everywhere: set[int]) -> Callable[[Iterator[pd.DataFrame]], Ite
         return kept.replace("'", " ").replace("-", " ")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in bounded(batches, ["text"]):
             w = Words([body(t, set(own) if own is not None else set()) for t, own in zip(pdf["text"], pdf["own"])])
             order = np.lexsort((w.exact, w.doc))
             h, doc = w.exact[order], w.doc[order]

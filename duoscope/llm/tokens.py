@@ -155,6 +155,22 @@ class Words:
         return h, self.doc[:n] == self.doc[size - 1 :]
 
 
+def bounded(batches, columns, most: int = 2_000_000):
+    """Batches cut so that the texts of each, taken together, have at most ``most`` characters; a longer text stands alone."""
+    for pdf in batches:
+        size = sum(pdf[c].str.len().fillna(0) for c in columns).to_numpy(np.int64) if len(pdf) else np.zeros(0, np.int64)
+        if size.sum() <= most:
+            yield pdf
+            continue
+        at, held = 0, 0
+        for i, n in enumerate(size.tolist()):
+            if held and held + n > most:
+                yield pdf.iloc[at:i]
+                at, held = i, 0
+            held += n
+        yield pdf.iloc[at:]
+
+
 class Bloom:
     """A bit set of hashes whose size has a bound: beyond it more hashes pass that aren't in it, none is lost."""
 
@@ -210,7 +226,7 @@ def count_words(batches):
 
     names = ["word", "n", "n_prompt"]
     held: dict[int, list] = {}
-    for pdf in batches:
+    for pdf in (part for batch in batches for part in bounded([batch], list(batch.columns))):
         for c in pdf.columns:
             w = Words([t if isinstance(t, str) else None for t in pdf[c]])
             inner = np.flatnonzero(~w.digit & (~w.at_end | c.endswith("prompt")))

@@ -298,6 +298,15 @@ def test_words_against_regex():
     assert len(set(w.exact.tolist())) == len({x.lower().translate({0xC4: 0xE4}) for x in want})
 
 
+def test_bounded_batches():
+    from duoscope.llm.tokens import bounded
+
+    pdf = pd.DataFrame({"a": ["x" * n for n in (3, 9, 1, 1, 1, 30, 0, 2)], "b": [None, "y", None, None, None, None, None, "z"]})
+    parts = list(bounded([pdf, pdf.iloc[:0]], ["a", "b"], most=10))
+    assert pd.concat(parts).equals(pdf) and [len(p) for p in parts] == [1, 1, 3, 1, 2, 0]
+    assert [len(p) for p in bounded([pdf], ["a"], most=100)] == [8]
+
+
 def test_bloom_loses_nothing(spark):
     from duoscope.llm.tokens import Bloom
 
