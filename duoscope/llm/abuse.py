@@ -439,11 +439,11 @@ def calibrate(values: list[tuple[str, int]], scorer: Scorer) -> Scorer:
     if len(values) < 60:
         return scorer
     w = dict(scorer.weights)
+    every = [([f for s in _SENTENCE.split(text or "") if (f := scorer.features(s)[0])], y) for text, y in values]
     for _ in range(3):
         rows = []
-        for text, y in values:
-            found = [scorer.features(s)[0] for s in _SENTENCE.split(text or "")]
-            rows.append((max(found, key=lambda f: sum(w[k] * v for k, v in f.items()) if f else -1e9, default={}), y))
+        for found, y in every:
+            rows.append((max(found, key=lambda f: sum(w[k] * v for k, v in f.items()), default={}), y))
         for _ in range(60):
             grad = {k: 0.02 * len(rows) * (w[k] - PRIOR[k]) for k in w}
             for f, y in rows:
