@@ -1,6 +1,7 @@
 """Sinks, document readers, model runs, streams and the command line, end to end on small data."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -134,6 +135,17 @@ def test_keep_latest(spark, tmp_path):
     write(make([("a", 3), ("b", 2)]), 1)
     write(make([("c", 1)]), 2)
     assert {(r["k"], r["v"]) for r in incremental.read_latest(spark, str(tmp_path / "t")).collect()} == {("a", 3), ("b", 5), ("c", 1)}
+    # only touched buckets are written again
+    write(make([("a", 9)]), 3)
+    assert len(list((tmp_path / "t" / "version=3").glob("_bucket=*"))) == 1
+    rng = random.Random(4)
+    want = {"a": 9, "b": 5, "c": 1}
+    for epoch in range(4, 8):
+        rows = [(f"k{rng.randint(0, 300)}", rng.randint(0, 10**6)) for _ in range(200)]
+        write(make(rows), epoch)
+        for k, v in rows:
+            want[k] = max(v, want.get(k, -1))
+    assert {r["k"]: r["v"] for r in incremental.read_latest(spark, str(tmp_path / "t")).collect()} == want
 
 
 def test_stream_of_files(spark, tmp_path):
