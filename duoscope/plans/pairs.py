@@ -191,7 +191,19 @@ def distinct_features(spark: SparkSession, root: str) -> DataFrame:
     return out.select("dialect", F.explode("features_found").alias("feature")).groupBy("dialect", "feature").agg(F.count("*").alias("texts"))
 
 
-@PLAN.query()
+def _places_sql(dialect: str, feature: str, priority: str, p: str) -> str:
+    """Matches of one pattern: what is split off before each and what was matched before gives its place."""
+    q = _sql_pattern(p)
+    head, tail = (q, None) if q else p.split("(?!")
+    pattern = _quote("(?i)" + head)
+    rows = f"select pair_key, transformed, unnest(range(1, len(m) + 1)) as i, m, g from (select pair_key, transformed, regexp_extract_all(transformed, {pattern}) as m, string_split_regex(transformed, {pattern}) as g from generated_pairs where dialect = '{dialect}')"
+    start = "(coalesce(list_sum([length(x) for x in g[1:i]]), 0) + coalesce(list_sum([length(x) for x in m[1:i-1]]), 0))::int"
+    out = f"select pair_key, transformed, '{feature}' as feature_id, '{priority}' as priority, m[i] as matched_text, {start} as start_pos, ({start} + length(m[i]))::int as end_pos from ({rows})"
+    followed = f" where not regexp_matches(substr(transformed, end_pos + 1), {_quote('(?i)^(?:' + tail)})" if tail else ""
+    return f"select pair_key, feature_id, priority, matched_text, start_pos, end_pos from ({out}){followed}"
+
+
+@PLAN.query(" union all ".join(_places_sql(k, f.id, f.priority, p) for k, d in DIALECTS.items() for f in d.features for p in f.patterns))
 def detect_features(spark: SparkSession, root: str) -> DataFrame:
     """Every match with its place."""
     df = _rewrites(spark, root).where("transformed is not null")
