@@ -233,6 +233,55 @@ def test_truncation_recall_of_copies(spark, kind):
         assert len(got & some) >= 0.9 * len(some), (share, len(got & some))
 
 
+def test_truncation_copies_at_the_threshold(spark):
+    """Every copy with exactly 0.8 of its shingles or words alike is found, whatever differs."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(4))
+    texts, cut = {}, set()
+    for i in range(150):
+        w = [word() for _ in range(40)]
+        texts[i] = " ".join(w) + "."
+        a = w[:30]
+        a[rng.randint(4, 24)] = word()  # 20 of 25 shingles are left
+        texts[1000 + i] = " ".join(a)
+        cut.add(1000 + i)
+    for i in range(20):
+        w = [word() for _ in range(40)]
+        texts[2000 + i], texts[3000 + i] = " ".join(w) + ".", " ".join(w[2:12])  # two of ten words lack
+        v = [word() for _ in range(40)]
+        texts[4000 + i], texts[5000 + i] = " ".join(v) + ".", " ".join([*v[:26], word(), *v[27:30]])  # the third word before the last is another
+        u = [word() for _ in range(40)]
+        texts[6000 + i], texts[7000 + i] = " ".join(u) + ".", " ".join([*u[:28], u[28].title(), u[29].title()])
+        t = [word() for _ in range(40)]
+        texts[8000 + i], texts[9000 + i] = " ".join(t) + ".", " ".join(t[:28]) + ". " + " ".join(t[28:30])
+        cut |= {k + i for k in (3000, 5000, 7000, 9000)}
+    assert all(truncation._aligned_early(texts[k], texts[k - 1000]) for k in cut)
+    assert _copies(spark, texts)[1] == cut
+
+
+def test_truncation_copies_against_brute_force(spark):
+    rng = random.Random(9)
+    vocab = [a + b for a in ("ban", "cor", "del", "fis") for b in ("ter", "min", "dow", "vel")]
+    texts = {}
+    for i in range(40):
+        w = [rng.choice(vocab) for _ in range(rng.randint(14, 40))]
+        for k in range(7):
+            a = list(w)
+            for _ in range(k // 2):
+                a[rng.randrange(len(a))] = rng.choice(vocab)
+            a = a[rng.choice((0, 0, 1, 3)) :][: rng.randint(7, 40)]
+            a[-1] = a[-1][: rng.choice((2, 4, 6))]
+            texts[100 * i + k] = " ".join(a) + rng.choice(("", "", ".", "…"))
+    v = truncation.values(spark.createDataFrame([(k, "m", t) for k, t in texts.items()], "k long, m string, t string"), "k", ["t"], "m")
+    want = {k for k, a in texts.items() if any(a != b and truncation._aligned_early(a, b) for b in texts.values())}
+    hashed = v.where(F.length("text") > 0).withColumn("text_hash", F.xxhash64("text"))
+    needs = "last bigint, prefix bigint, words int, bits bigint, bits2 bigint, near bigint, near2 bigint, shingles array<bigint>"
+    all_ = hashed.mapInPandas(lambda batches: (b[["text_hash"]].assign(**truncation._needs(b["text"].str.lower().tolist())) for b in batches), "text_hash bigint, " + needs)
+    key = {r["text_hash"]: r["text"] for r in hashed.collect()}
+    got = {key[r["text_hash"]] for r in truncation.cut_copies(hashed, all_).collect()}
+    assert len(want) > 50 and got == {texts[k] for k in want}
+
+
 def test_hot_group_of_copies(spark):
     """Texts that differ in one number each, and cut copies of some of them."""
     body = "the harbour gate of the old town was opened again by order number {} and the people went through it with lanterns in their hands."
