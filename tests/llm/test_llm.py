@@ -275,7 +275,7 @@ def test_truncation_copies_against_brute_force(spark):
     v = truncation.values(spark.createDataFrame([(k, "m", t) for k, t in texts.items()], "k long, m string, t string"), "k", ["t"], "m")
     want = {k for k, a in texts.items() if any(a != b and truncation._aligned_early(a, b) for b in texts.values())}
     hashed = v.where(F.length("text") > 0).withColumn("text_hash", F.xxhash64("text"))
-    needs = "last bigint, prefix bigint, words int, bits bigint, bits2 bigint, near bigint, near2 bigint, shingles array<bigint>"
+    needs = truncation._ROWS[truncation._ROWS.index("last bigint") :]
     all_ = hashed.mapInPandas(lambda batches: (b[["text_hash"]].assign(**truncation._needs(b["text"].str.lower().tolist())) for b in batches), "text_hash bigint, " + needs)
     key = {r["text_hash"]: r["text"] for r in hashed.collect()}
     got = {key[r["text_hash"]] for r in truncation.cut_copies(hashed, all_).collect()}
